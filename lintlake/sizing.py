@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a frame."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(stats.sizeInBytes())
 
 
 def fits_broadcast(df: DataFrame) -> bool:
