@@ -222,7 +222,7 @@ _WITH_HEAD = r"^WITH (?:RECURSIVE )?(?:[\w`\"]+ ?(?:~ ?)?AS ?~ ?,? ?)+"
 _SET_OPS = r" (?:UNION ALL|UNION DISTINCT|UNION|INTERSECT|EXCEPT|MINUS) "
 
 
-def _collapse(m: Column, collect: bool) -> Column:
+def collapse(m: Column, collect: bool) -> Column:
     """Replace the innermost parentheses by ``~`` until none is left.
 
     One pass removes one level and at least one ``(``, so as many passes as there are
@@ -249,12 +249,12 @@ def _collapse(m: Column, collect: bool) -> Column:
 
 def skeleton(m: Column) -> Column:
     """PRE-11: top-level clauses of a masked text, every parenthesis reduced to ``~``."""
-    return F.regexp_replace(_collapse(m, collect=False), _WITH_HEAD, "")
+    return F.regexp_replace(collapse(m, collect=False), _WITH_HEAD, "")
 
 
 def select_blocks(m: Column) -> Column:
     """PRE-12: the top-level SELECT, the branches of set operations, the derived tables."""
-    state = _collapse(m, collect=True)
+    state = collapse(m, collect=True)
     texts = F.concat(F.array(F.regexp_replace(state["text"], _WITH_HEAD, "")), state["found"])
     parts = F.flatten(F.transform(texts, lambda t: F.split(t, _SET_OPS)))
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.startswith("SELECT "))
