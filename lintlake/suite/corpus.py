@@ -12,36 +12,36 @@ from pyspark.sql import functions as F
 
 # One statement per event: template number = event_id % 32; {e} = event_id, {u} = user_id.
 TEMPLATES = [
-    "SELECT * FROM orders WHERE o_orderkey = {e}",
+    "SELECT * FROM orders_{u} WHERE o_orderkey = {e}",
     "SELECT o_orderkey, o_custkey FROM orders",
-    "SELECT c_name FROM customer WHERE c_name LIKE '%{u}'",
-    "SELECT o_orderkey FROM orders WHERE o_custkey = {u} ORDER BY o_orderdate",
+    "SELECT c_name FROM customer_{u} WHERE c_name LIKE '%{u}'",
+    "SELECT o_orderkey FROM orders_{u} WHERE o_custkey = {u} ORDER BY o_orderdate",
     "SELECT c_name FROM customer WHERE UPPER(c_name) = 'A{u}' AND LOWER(c_mktsegment) = 'b'",
-    "SELECT o_custkey, COUNT(*) FROM orders GROUP BY o_custkey HAVING COUNT(*) > {u}",
+    "SELECT o_custkey, COUNT(*) FROM orders_{u} GROUP BY o_custkey HAVING COUNT(*) > {u}",
     "SELECT o.o_orderkey, c.c_name FROM orders o, customer c WHERE o.o_custkey = c.c_custkey",
-    "SELECT s_name FROM supplier WHERE s_suppkey = {u} OR s_name = 'x{e}'",
+    "SELECT s_name FROM supplier_{u} WHERE s_suppkey = {u} OR s_name = 'x{e}'",
     "SELECT l_orderkey FROM lineitem WHERE (l_orderkey, l_linenumber) IN "
     "(SELECT o_orderkey, 1 FROM orders WHERE o_custkey = {u})",
     "SELECT c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey = {e})",
     "SELECT c_name FROM customer WHERE c_custkey NOT IN (1, 2, {u})",
     "SELECT c_name FROM customer WHERE c_mktsegment = NULL",
     "SELECT c_name FROM customer WHERE c_mktsegment != NULL LIMIT 10",
-    "SELECT DISTINCT c.c_name FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey = {e}",
+    "SELECT DISTINCT c.c_name FROM customer_{u} c JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey = {e}",
     "SELECT p_name FROM part WHERE p_size > ((({u} + 1) * 2) + (3 * (4 + (5))))",
     "INSERT INTO region VALUES ({e}, 'r{u}')",
     "INSERT INTO region (r_regionkey, r_name) VALUES ({e}, 'r')",
-    "UPDATE customer SET c_acctbal = 0",
+    "UPDATE customer_{u} SET c_acctbal = 0",
     "DELETE FROM orders",
     "DELETE FROM orders WHERE o_orderkey = {e}",
     "DROP TABLE tmp_{u}",
     "TRUNCATE TABLE events_stage",
     "SELECT " + "l_orderkey, " * 50 + "l_partkey FROM lineitem WHERE l_orderkey = {e}",
     "SELECT p_name FROM part WHERE p_size > 18 AND p_retailprice > 50000 AND p_partkey = 1{u}",
-    "SELECT o_orderkey FROM orders WHERE o_custkey = #{custId} ORDER BY ${orderBy}",
+    "SELECT o_orderkey FROM orders_{u} WHERE o_custkey = #{custId} ORDER BY ${orderBy}",
     "INSERT INTO nation (n_nationkey,, n_name) VALUES (1, 'x')",
-    "SELECT n_name FROM nation AND n_regionkey = {u}",
+    "SELECT n_name FROM nation_{u} AND n_regionkey = {u}",
     "SELECT id FROM payment_order WHERE pay_id = {u}",
-    "SELECT t.o_orderkey FROM (SELECT * FROM orders WHERE o_custkey = {u}) t WHERE t.o_orderkey = {e}",
+    "SELECT t.o_orderkey FROM (SELECT * FROM orders_{u} WHERE o_custkey = {u}) t WHERE t.o_orderkey = {e}",
     "SELECT c_custkey FROM customer WHERE c_custkey = {u} UNION SELECT o_custkey FROM orders",
     "WITH x AS (SELECT o_orderkey FROM orders WHERE o_custkey = {u}) SELECT o_orderkey FROM x WHERE o_orderkey = {e}",
     "update:sku:{u}",

@@ -26,6 +26,12 @@ def prepared(spark, sf) -> DataFrame:
     return preprocess(statements(spark, sf), explain_enabled=True)
 
 
+def query_log(spark, sf) -> DataFrame:
+    """Every occurrence as a statement of its own, as a batch of SQL texts comes in."""
+    return corpus.occurrences(spark, sf).select(
+        F.col("occ_id").alias("stmt_id"), F.col("sql").alias("original_sql"), tx.normalize(F.col("sql")).alias("norm"))
+
+
 def linted(spark, sf) -> DataFrame:
     return ru.lint(prepared(spark, sf))
 
@@ -240,9 +246,9 @@ _COLS = ["stmt_id", "severity", "message", "suggestion"]
 
 
 def _rule_query(key: str, rule_id: str):
-    @query(key, with_(f"SELECT {', '.join(_COLS)} FROM ({tw.rule_rows(rule_id)})", "txt"))
+    @query(key, with_(f"SELECT {', '.join(_COLS)} FROM ({tw.rule_rows(rule_id, src='logtxt')})", "logtxt"))
     def _(spark, sf):
-        return ru.evaluate(prepared(spark, sf), ru.RuleSet.only(rule_id), "rules").select(*_COLS)
+        return ru.evaluate(query_log(spark, sf), ru.RuleSet.only(rule_id), "rules").select(*_COLS)
 
 
 for _key, _rid in _RULE_KEYS:
@@ -253,9 +259,9 @@ def _smell_query(key: str, message: str, twin):
     test, msg, tip = twin
 
     @query(key, with_(f"SELECT stmt_id, 'CRITICAL' AS severity, {msg} AS message, CAST({tip} AS VARCHAR) AS suggestion "
-                      f"FROM pre WHERE {test}", "pre"))
+                      f"FROM log WHERE {test}", "log"))
     def _(spark, sf):
-        found = ru.evaluate(prepared(spark, sf), None, "smells")
+        found = ru.evaluate(query_log(spark, sf), None, "smells")
         return found.where(F.col("message") == message).select(*_COLS)
 
 
@@ -298,9 +304,9 @@ def _(spark, sf):
 
 @query("rul_24_basic_profile", with_(" UNION ALL ".join(
     f"SELECT stmt_id, '{rid}' AS rule_id, '{sev}' AS severity, {q(msg)} AS message FROM pre WHERE {test}"
-    for rid, sev, test, msg in tw.BASIC), "pre"))
+    for rid, sev, test, msg in tw.BASIC).replace("FROM pre", "FROM log"), "log"))
 def _(spark, sf):
-    return ru.evaluate(prepared(spark, sf), None, "basic").select("stmt_id", "rule_id", "severity", "message")
+    return ru.evaluate(query_log(spark, sf), None, "basic").select("stmt_id", "rule_id", "severity", "message")
 
 
 _ISSUE_COLS = ["stmt_id", "issue_no", "rule_id", "rule_name", "type", "severity", "message", "suggestion", "evidence"]

@@ -238,19 +238,27 @@ _INNER = r"\([^()]*\)"
 _SEL = r"(?:\bFROM|\bJOIN|^|\bUNION|\bUNION ALL|\bINTERSECT|\bEXCEPT|\bMINUS) ?\( ?(SELECT [^()]*)\)"
 WITH_HEAD = r'^WITH (?:RECURSIVE )?(?:[\w`"]+ ?(?:~ ?)?AS ?~ ?,? ?)+'
 
-part("txt1", "SELECT *, upper(norm) AS up, regexp_extract(masked, ' WHERE (.*)$', 1) AS wh, masked AS t0 FROM pre",
-     "pre")
-_prev = "txt1"
-for _i in range(1, 7):
-    part(f"txt{_i + 1}", f"""SELECT *, regexp_replace(t{_i - 1}, {q(_INNER)}, '~', 'g') AS t{_i},
-      regexp_extract_all(t{_i - 1}, {q(_SEL)}, 1) AS f{_i} FROM {_prev}""", _prev)
-    _prev = f"txt{_i + 1}"
-part("txt", f"""
+
+
+def rule_texts(name: str, source: str) -> None:
+    """Parts ``name``: the texts of the rules for the rows of ``source`` (norm, masked, ...)."""
+    part(f"{name}_0", f"SELECT *, upper(norm) AS up, regexp_extract(masked, ' WHERE (.*)$', 1) AS wh, masked AS t0 "
+         f"FROM {source}", source)
+    for i in range(1, 7):
+        part(f"{name}_{i}", f"""SELECT *, regexp_replace(t{i - 1}, {q(_INNER)}, '~', 'g') AS t{i},
+          regexp_extract_all(t{i - 1}, {q(_SEL)}, 1) AS f{i} FROM {name}_{i - 1}""", f"{name}_{i - 1}")
+    part(name, f"""
 SELECT * EXCLUDE (t0, t1, t2, t3, t4, t5, f1, f2, f3, f4, f5, f6), regexp_replace(t6, {q(WITH_HEAD)}, '') AS skeleton,
   list_filter(list_transform(flatten(list_transform(
      list_concat([regexp_replace(t6, {q(WITH_HEAD)}, '')], f1, f2, f3, f4, f5, f6),
      lambda x: string_split_regex(x, ' (?:UNION ALL|UNION DISTINCT|UNION|INTERSECT|EXCEPT|MINUS) '))),
-     lambda x: trim(x)), lambda x: starts_with(x, 'SELECT ')) AS blocks FROM {_prev}""", _prev)
+     lambda x: trim(x)), lambda x: starts_with(x, 'SELECT ')) AS blocks FROM {name}_6""", f"{name}_6")
+
+
+rule_texts("txt", "pre")
+part("log", f"""SELECT occ_id AS stmt_id, file_name AS first_file, sql AS original_sql, {one_space('sql')} AS norm,
+  {masked('sql')} AS masked FROM occ""", "occ")
+rule_texts("logtxt", "log")
 
 # --- findings ------------------------------------------------------------------------------------------
 
@@ -365,7 +373,7 @@ def _rows(rid, sev, prio, k, test, msg, tip, src="txt") -> str:
             f"CAST({tip} AS VARCHAR) AS suggestion, {prio} AS prio, {k} AS ord FROM {src} WHERE {test}")
 
 
-def rule_rows(rid: str, guard_: str = "true", tests: dict | None = None) -> str:
+def rule_rows(rid: str, guard_: str = "true", src: str = "txt") -> str:
     """UNION ALL of the findings of one rule."""
     if rid == "function-on-indexed-column":
         fns = "|".join(fv.NON_SARGABLE_FUNCTIONS)
@@ -374,12 +382,11 @@ def rule_rows(rid: str, guard_: str = "true", tests: dict | None = None) -> str:
         return (f"SELECT stmt_id, first_file AS evidence, {q(rid)} AS rule_id, '{rule_name(rid)}' AS rule_name, "
                 f"'{rule_name(rid)}' AS type, '{SEV[rid]}' AS severity, {msg} AS message, {q(TIP[rid])} AS suggestion, "
                 f"{PRIO[rid]} AS prio, list_position(all_names, n) AS ord FROM (SELECT stmt_id, first_file, "
-                f"{names} AS all_names, unnest(list_distinct({names})) AS n FROM txt "
+                f"{names} AS all_names, unnest(list_distinct({names})) AS n FROM {src} "
                 f"WHERE len(blocks) > 0 AND {guard_})")
-    tests = tests or {}
     return " UNION ALL ".join(
-        _rows(rid, SEV[rid], PRIO[rid], k, f"({t}) AND {guard_}", m, s)
-        for k, (t, m, s) in enumerate(tests.get(rid, FINDINGS.get(rid))))
+        _rows(rid, SEV[rid], PRIO[rid], k, f"({t}) AND {guard_}", m, s, src)
+        for k, (t, m, s) in enumerate(FINDINGS[rid]))
 
 
 _ALL = [r[0] for r in fv.RULE_CATALOGUE]
