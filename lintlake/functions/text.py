@@ -162,12 +162,13 @@ def fix_concat(c: Column) -> Column:
     return normalize(F.replace(t, F.lit('\\"'), F.lit('"')))
 
 
+TEMPLATE_CATEGORIES = ["MYBATIS_XML_DYNAMIC", "MYBATIS_XML_STATIC", "MYBATIS_ANNOTATION", "PLACEHOLDER_TEMPLATE"]
+CONCAT_CATEGORIES = ["STRING_CONCAT", "PLACEHOLDER_TEMPLATE"]
+
+
 def apply_fixers(c: Column, category: Column) -> Column:
     """PRE-8: the fixers a category asks for, template fixer first."""
-    template = category.isin(
-        "MYBATIS_XML_DYNAMIC", "MYBATIS_XML_STATIC", "MYBATIS_ANNOTATION", "PLACEHOLDER_TEMPLATE"
-    )
-    concat = category.isin("STRING_CONCAT", "PLACEHOLDER_TEMPLATE")
+    template, concat = category.isin(*TEMPLATE_CATEGORIES), category.isin(*CONCAT_CATEGORIES)
     return (
         F.when(template & concat, fix_concat(fix_template(c)))
         .when(template, fix_template(c))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lintlake import fixed_values as fv
 from lintlake.functions import text as tx
 from lintlake.functions.sqltext import once
-from lintlake.plans.guard import guard_columns
+from lintlake.plans.guard import with_guard
 
 
 def preprocess(stmts: DataFrame, explain_enabled: bool = False) -> DataFrame:
@@ -27,10 +27,10 @@ def preprocess(stmts: DataFrame, explain_enabled: bool = False) -> DataFrame:
     )
     step2 = step1.withColumn("_plain_mask", tx.masked(F.col("_plain")))
     step3 = step2.withColumn("_plain_ok", once(tx.shape_of_masked(F.col("_plain_mask"))))
-    step4 = step3.withColumn(
-        "norm",
-        F.when(F.col("_plain_ok"), F.col("_plain")).otherwise(tx.apply_fixers(F.col("_plain"), F.col("category"))),
-    )
+    template = F.col("category").isin(*tx.TEMPLATE_CATEGORIES) & ~F.col("_plain_ok")
+    concat = F.col("category").isin(*tx.CONCAT_CATEGORIES) & ~F.col("_plain_ok")
+    fixed = step3.withColumn("_fixed", F.when(template, tx.fix_template(F.col("_plain"))).otherwise(F.col("_plain")))
+    step4 = fixed.withColumn("norm", F.when(concat, tx.fix_concat(F.col("_fixed"))).otherwise(F.col("_fixed")))
     step5 = step4.withColumn(
         "masked", F.when(F.col("_plain_ok"), F.col("_plain_mask")).otherwise(tx.masked(F.col("norm")))
     )
@@ -51,8 +51,7 @@ def preprocess(stmts: DataFrame, explain_enabled: bool = False) -> DataFrame:
             F.when(blank, fv.REASON_EMPTY).otherwise(base_reason).alias("reason"),
         )
         return out
-    guard = guard_columns(F.col("norm"))
-    step7 = step6.withColumns({f"_g_{k}": v for k, v in guard.items()})
+    step7 = with_guard(step6, "norm", "_g_")
     reason = (
         F.when(blank, fv.REASON_EMPTY)
         .when(

@@ -43,7 +43,7 @@ def _issue(test: str, itype: str, severity: str, message: str, suggestion: str)
 
 
 def _node_issues(threshold: int) -> Column:
-    """EXP-3 as SQL over a node's columns: array of (type, severity, message, suggestion)."""
+    """EXP-3 as SQL over a node's columns: five places of (type, severity, message, suggestion), null where none."""
     high = f"coalesce(est_rows > {threshold}, false)"
     table = "coalesce(table_name, '<unknown>')"
     note = f"coalesce(concat({quote('，预计扫描行数: ')}, cast(est_rows as string)), '')"
@@ -62,7 +62,7 @@ def _node_issues(threshold: int) -> Column:
         _issue("filesort", "USING_FILESORT", soft, quote("查询使用了文件排序"),
                quote("建议为 ORDER BY 字段添加索引以避免文件排序")),
     ]
-    return F.expr(f"filter(array({', '.join(found)}), i -> i is not null)")
+    return F.expr(f"array({', '.join(found)})")
 
 
 def plan_issues(nodes: DataFrame, threshold: int = fv.HIGH_ROWS_THRESHOLD) -> DataFrame:

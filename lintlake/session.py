@@ -35,3 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lintlake-checkpoint-"))
     return sc.getCheckpointDir()
+
+
+def materialized(df):
+    """Compute a frame once and cut its lineage: a checkpoint in the shared folder, read by all later uses."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_core", "q_files", "q_schema", "q_plans"]
+MODULES = ["q_core", "q_files", "q_schema", "q_plans", "q_report"]
 
 
 def _load() -> None:
