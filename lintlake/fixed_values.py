@@ -253,13 +253,7 @@ INFER_STOP_WORDS = [
     "CASE", "WHEN", "THEN", "END", "AS", "SET", "VALUES", "UPDATE", "DELETE",
     "INSERT", "INTO", "ORDER", "GROUP", "BY", "LIMIT",
 ]
-TABLE_REFERENCE_PATTERNS = [
-    r"(?i)\bFROM\s+([`\w.]+)",
-    r"(?i)\bJOIN\s+([`\w.]+)",
-    r"(?i)^\s*UPDATE\s+([`\w.]+)",
-    r"(?i)\bINTO\s+([`\w.]+)",
-    r"(?i)\bDELETE\s+FROM\s+([`\w.]+)",
-]
+TABLE_REFERENCE = r"(?i)(?:\bFROM|\bJOIN|^\s*UPDATE|\bINTO)\s+([`\w.]+)"
 GAP_EVIDENCE = "SQL 引用的表未在扫描范围 DDL 中出现"
 UNINDEXED_EVIDENCE = "过滤/排序/关联字段未在 DDL 索引列中命中: "
 GAP_RECOMMENDATION = "确认 DDL 是否缺失、是否由迁移系统托管，或在扫描时补充 schema-path。"

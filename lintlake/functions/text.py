@@ -30,6 +30,11 @@ def normalize(c: Column) -> Column:
     return F.trim(one_space(c))
 
 
+def split_by(c: Column, pattern: str) -> Column:
+    """Split by a long pattern: ``split`` would compile it anew for every value, ``regexp_replace`` does not."""
+    return F.split(F.regexp_replace(c, pattern, CUT), CUT, -1)
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
@@ -220,6 +225,7 @@ def masked(c: Column) -> Column:
 _INNER = r"\([^()]*\)"
 _INNER_SELECT = r"(?:\bFROM|\bJOIN|^|\bUNION|\bUNION ALL|\bINTERSECT|\bEXCEPT|\bMINUS) ?\( ?(SELECT [^()]*)\)"
 _WITH_HEAD = r"^WITH (?:RECURSIVE )?(?:[\w`\"]+ ?(?:~ ?)?AS ?~ ?,? ?)+"
+CUT = "\x07"
 _SET_OPS = r" (?:UNION ALL|UNION DISTINCT|UNION|INTERSECT|EXCEPT|MINUS) "
 
 
@@ -257,7 +263,7 @@ def select_blocks(m: Column) -> Column:
     """PRE-12: the top-level SELECT, the branches of set operations, the derived tables."""
     state = collapse(m, collect=True)
     texts = F.concat(F.array(F.regexp_replace(state["text"], _WITH_HEAD, "")), state["found"])
-    parts = F.flatten(F.transform(texts, lambda t: F.split(t, _SET_OPS)))
+    parts = F.flatten(F.transform(texts, lambda t: split_by(t, _SET_OPS)))
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.startswith("SELECT "))
 
 

@@ -70,7 +70,7 @@ def rebuild_concat(line: Column) -> Column:
     parts = F.transform(F.regexp_extract_all(line, F.lit(LITERAL), F.lit(1)), unescape)
     state = F.struct(
         parts.alias("parts"),
-        F.split(line, LITERAL, -1).alias("gaps"),
+        tx.split_by(line, LITERAL).alias("gaps"),
         F.array_position(F.transform(parts, tx.looks_like_fragment), True).cast("int").alias("first"),
     )
     joined = F.transform(

@@ -24,13 +24,14 @@ FRAGMENTS = "array<struct<id:string,body:string>>"
 WHEN_OPEN, WHEN_CLOSE, ELSE_OPEN, ELSE_CLOSE = "\x03", "\x04", "\x05", "\x06"
 
 
-def rewrite_each(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
-    """Replace every match of ``pattern`` by ``fn(match)``."""
+def rewrite_each(text: Column, opening: str, pattern: str, fn: Callable[[Column], Column]) -> Column:
+    """Replace every match of ``pattern`` by ``fn(match)``; text without ``opening`` is left alone."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(
-        F.zip_with(F.split(text, pattern, -1), F.transform(found, fn), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))),
+    done = F.array_join(
+        F.zip_with(tx.split_by(text, pattern), F.transform(found, fn), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))),
         "",
     )
+    return F.when(text.rlike(opening), done).otherwise(text)
 
 
 def open_tag(element: Column) -> Column:
@@ -143,7 +144,7 @@ def _one_level(text: Column) -> Column:
     found = F.transform(F.regexp_extract_all(text, F.lit(_LEAF), F.lit(0)), parts)
     return F.array_join(
         F.zip_with(
-            F.split(text, _LEAF, -1), found,
+            tx.split_by(text, _LEAF), found,
             lambda p, e: F.concat(p, F.when(e.isNull(), "").otherwise(resolve_element(e))),
         ),
         "",
@@ -153,8 +154,8 @@ def _one_level(text: Column) -> Column:
 def flatten_tags(body: Column) -> Column:
     """EXT-11..13: resolve dynamic tags from the inside out; what is nested deeper than the limit is dropped."""
     levels = F.array_repeat(F.lit(0), fv.MAX_TAG_DEPTH + 1)
-    flat = F.aggregate(levels, body, lambda t, _: F.when(t.rlike(r"<[A-Za-z]"), _one_level(t)).otherwise(t))
-    flat = F.regexp_replace(flat, r"<[^<>]*>", " ")
+    flat = F.aggregate(levels, body, lambda t, _: F.when(t.contains("<"), _one_level(t)).otherwise(t))
+    flat = F.when(flat.contains("<"), F.regexp_replace(flat, r"<[^<>]*>", " ")).otherwise(flat)
     return tx.normalize(F.translate(flat, WHEN_OPEN + WHEN_CLOSE + ELSE_OPEN + ELSE_CLOSE, "    "))
 
 
@@ -180,12 +181,12 @@ def resolve_includes(text: Column, fragments: Column) -> Column:
         missing = F.when(F.trim(ref) == "", "").otherwise(F.concat(F.lit("/* INCLUDE:"), ref, F.lit(" */")))
         return spaced(F.coalesce(body_of(ref), missing))
 
-    return rewrite_each(text, _INCLUDE, one)
+    return rewrite_each(text, "(?i)<include", _INCLUDE, one)
 
 
 def _binds(text: Column) -> Column:
     return rewrite_each(
-        text, _BIND,
+        text, "(?i)<bind", _BIND,
         lambda m: F.concat(
             F.lit(" /* BIND:"), attr(open_tag(m), "name"), F.lit("="), attr(open_tag(m), "value"), F.lit(" */ ")
         ),
@@ -231,7 +232,7 @@ def _escaped_cdata(text: Column) -> Column:
 
     end = "]]>"
     parts = F.transform(
-        F.split(text, r"<!\[CDATA\["),
+        tx.split_by(text, r"<!\[CDATA\["),
         lambda p, i: F.when(i == 0, p).otherwise(
             F.concat(
                 escape(F.substring_index(p, end, 1)),

@@ -13,9 +13,8 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit_bytes = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(limit)))
-    return 0 <= planned_bytes(df) <= limit_bytes
+    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    return planned_bytes(df) <= limit
 
 
 def hot_key_join(

@@ -56,8 +56,19 @@ SOURCE_OF_EVENT = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A given table, reduced to some columns.
+
+    The test tables are single files, which one task reads; the text made from a row costs far
+    more than the row, so rows of a table with fewer files than cores are dealt out to all
+    cores.  A table of many files is left as it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if not columns:
+        return df
+    df = df.select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def fill(template: Column, e: Column, u: Column) -> Column:
@@ -70,7 +81,7 @@ def pick(selector: Column, values: list[str]) -> Column:
 
 def raw_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a candidate, cache keys included."""
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    ev = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
     e, u = F.col("event_id"), F.col("user_id")
     source = F.create_map(*[F.lit(x) for kv in SOURCE_OF_EVENT.items() for x in kv])[F.col("event_type")]
     svc = F.concat(F.lit("svc"), (u % 5).cast("string"))

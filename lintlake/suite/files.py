@@ -231,7 +231,7 @@ SOURCE_OF = {
 
 
 def files(spark, sf_dir: str) -> DataFrame:
-    ev = corpus.table(spark, sf_dir, "events").select("event_id", "user_id")
+    ev = corpus.table(spark, sf_dir, "events", "event_id", "user_id")
     e, u = F.col("event_id"), F.col("user_id")
     kind = e % 8
     path = F.replace(corpus.pick(kind, PATH), F.lit("{p}"), (u % 5).cast("string"))

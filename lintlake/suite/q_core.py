@@ -85,7 +85,7 @@ MARKED = [
 
 
 def marked(spark, sf) -> DataFrame:
-    ev = corpus.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    ev = corpus.table(spark, sf, "events", "event_id", "user_id", "event_type")
     e, u = F.col("event_id"), F.col("user_id")
     source = F.create_map(*[F.lit(x) for kv in corpus.SOURCE_OF_EVENT.items() for x in kv])[F.col("event_type")]
     return ev.select(
@@ -174,7 +174,7 @@ def _(spark, sf):
     f"WHEN 1 THEN {_CAT} WHEN 2 THEN 'FULL_TABLE_SCAN' ELSE 'RULE_NO_' || user_no END AS code FROM "
     "(SELECT m.*, e.user_id AS user_no FROM marked m JOIN events e USING (event_id)))", "marked"))
 def _(spark, sf):
-    ev = corpus.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    ev = corpus.table(spark, sf, "events", "event_id", "user_id", "event_type")
     m = marked(spark, sf).withColumn("category", tx.sql_category(F.col("sql"), F.col("source_type")))
     rows = m.join(ev.select("event_id", "user_id"), "event_id")
     n = F.col("event_id") % 4
@@ -282,7 +282,7 @@ BROKEN = [
 
 
 def _broken(spark, sf) -> DataFrame:
-    ev = corpus.table(spark, sf, "events").select("event_id", "user_id")
+    ev = corpus.table(spark, sf, "events", "event_id", "user_id")
     e, u = F.col("event_id"), F.col("user_id")
     rows = ev.select(e.alias("stmt_id"), corpus.fill(corpus.pick(e % 6, BROKEN), e, u).alias("original_sql"))
     rows = rows.withColumn("norm", tx.normalize(F.col("original_sql"))).withColumn("masked", tx.masked(F.col("norm")))
@@ -330,7 +330,7 @@ def _(spark, sf):
        "WHEN event_id % 4 = 2 THEN upper(event_type) || '_NO_RULE' ELSE 'ON_' || upper(event_type) || '_' || user_id END "
        "AS rule_name FROM events")
 def _(spark, sf):
-    ev = corpus.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    ev = corpus.table(spark, sf, "events", "event_id", "user_id", "event_type")
     n = F.col("event_id") % 4
     raw = (
         F.when(n == 0, "orderby-without-limit").when(n == 1, "  ")

@@ -96,7 +96,7 @@ _CONCAT_IN = ", ".join(f"({i}, {fl._q(b)})" for i, (_, b) in enumerate(CONCAT) i
 def _(spark, sf):
     from lintlake.suite.corpus import fill, pick, table
 
-    ev = table(spark, sf, "events").select("event_id", "user_id")
+    ev = table(spark, sf, "events", "event_id", "user_id")
     e, u = F.col("event_id"), F.col("user_id")
     lines = ev.select("event_id", fill(pick(e % len(CONCAT), [a for a, _ in CONCAT]), e, u).alias("line"))
     return lines.select("event_id", ex.rebuild_concat(F.col("line")).alias("sql"))
@@ -113,7 +113,7 @@ def _rewrites(name: str, cases: list[tuple[str, str]], build):
     def _(spark, sf):
         from lintlake.suite.corpus import fill, pick, table
 
-        ev = table(spark, sf, "events").select("event_id", "user_id")
+        ev = table(spark, sf, "events", "event_id", "user_id")
         e, u = F.col("event_id"), F.col("user_id")
         texts = ev.select("event_id", fill(pick(e % len(cases), [a for a, _ in cases]), e, u).alias("t"))
         return texts.select("event_id", build(F.col("t")).alias("sql"))

@@ -12,8 +12,7 @@ from lintlake.suite.twin_core import part, with_
 
 
 def plan_nodes(spark, sf) -> DataFrame:
-    li = corpus.table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_quantity")
+    li = corpus.table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_quantity")
     n = F.col("l_linenumber")
     none = F.lit(None).cast("string")
     return li.select(
@@ -123,7 +122,7 @@ _SQL_TEXT = "[" + ", ".join("'" + t + "'" for t in TEXT) + "][l_linenumber % 7 +
 FROM (SELECT l_orderkey AS stmt_id, l_linenumber AS node_no, l_linenumber % 7 AS k, l_suppkey AS s, l_partkey AS p,
         CAST(l_quantity AS BIGINT) AS n, {_SQL_TEXT} AS t FROM lineitem)""")
 def _(spark, sf):
-    li = corpus.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
+    li = corpus.table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
     text = corpus.pick(F.col("l_linenumber") % 7, TEXT)
     for key, col in (("{s}", F.col("l_suppkey")), ("{p}", F.col("l_partkey")), ("{n}", F.col("l_quantity").cast("bigint"))):
         text = F.replace(text, F.lit(key), col.cast("string"))
@@ -168,7 +167,7 @@ def _(spark, sf):
 
 def plan_errors(spark, sf) -> DataFrame:
     """EXPLAIN messages, made from orders: every fifth statement has one, some are blank."""
-    o = corpus.table(spark, sf, "orders").select("o_orderkey").where(F.col("o_orderkey") % 5 == 0)
+    o = corpus.table(spark, sf, "orders", "o_orderkey").where(F.col("o_orderkey") % 5 == 0)
     key = F.col("o_orderkey")
     return o.select(key.alias("stmt_id"), F.when(key % 10 == 0, " ").otherwise(
         F.concat(F.lit("timeout after "), (key % 30).cast("string"))).alias("error_message"))

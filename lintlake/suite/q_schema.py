@@ -70,7 +70,7 @@ SQL = [
 
 
 def ddl_files(spark, sf) -> DataFrame:
-    cust = corpus.table(spark, sf, "customer").select("c_custkey")
+    cust = corpus.table(spark, sf, "customer", "c_custkey")
     c = F.col("c_custkey")
     put = lambda t: F.replace(
         F.replace(t, F.lit("{c}"), c.cast("string")), F.lit("{p}"), (c - 1).cast("string"))
@@ -78,7 +78,7 @@ def ddl_files(spark, sf) -> DataFrame:
 
 
 def sql_statements(spark, sf) -> DataFrame:
-    orders = corpus.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    orders = corpus.table(spark, sf, "orders", "o_orderkey", "o_custkey")
     o, c = F.col("o_orderkey"), F.col("o_custkey")
     text = F.replace(
         F.replace(corpus.pick(o % 8, [s[0] for s in SQL]), F.lit("{c}"), c.cast("string")), F.lit("{o}"), o.cast("string"))
@@ -270,7 +270,7 @@ DML = [
 
 
 def dml(spark, sf) -> DataFrame:
-    ev = corpus.table(spark, sf, "events").select("event_id", "user_id")
+    ev = corpus.table(spark, sf, "events", "event_id", "user_id")
     e, u = F.col("event_id"), F.col("user_id")
     return ev.select(e.alias("stmt_id"), corpus.fill(corpus.pick(e % 6, [d[0] for d in DML]), e, u).alias("norm"))
 
