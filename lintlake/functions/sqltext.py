@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,8 @@ def once(c: Column) -> Column:
     projection one that filters do not cross; the value is unchanged.
     """
     return F.when(F.spark_partition_id() >= 0, c)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
-from lintlake.functions.sqltext import sql_map
+from lintlake.functions.sqltext import let, sql_map
 
 BLANKS = " \t\n\r\x0b\x0c"
 QUOTED_SINGLE = r"'(?:[^'\\]++|\\.)*+'"
@@ -261,8 +261,10 @@ def skeleton(m: Column) -> Column:
 
 def select_blocks(m: Column) -> Column:
     """PRE-12: the top-level SELECT, the branches of set operations, the derived tables."""
-    state = collapse(m, collect=True)
-    texts = F.concat(F.array(F.regexp_replace(state["text"], _WITH_HEAD, "")), state["found"])
+    texts = let(
+        collapse(m, collect=True),
+        lambda s: F.concat(F.array(F.regexp_replace(s["text"], _WITH_HEAD, "")), s["found"]),
+    )
     parts = F.flatten(F.transform(texts, lambda t: split_by(t, _SET_OPS)))
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.startswith("SELECT "))
 

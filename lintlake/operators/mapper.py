@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text as tx
+from lintlake.functions.sqltext import let
 from lintlake.operators.extract import CLOSE, MARK, OPEN, candidate, explode_candidates, per_line, tagged
 from lintlake.sources.corpus import extension
 
@@ -26,12 +27,14 @@ WHEN_OPEN, WHEN_CLOSE, ELSE_OPEN, ELSE_CLOSE = "\x03", "\x04", "\x05", "\x06"
 
 def rewrite_each(text: Column, opening: str, pattern: str, fn: Callable[[Column], Column]) -> Column:
     """Replace every match of ``pattern`` by ``fn(match)``; text without ``opening`` is left alone."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    done = F.array_join(
-        F.zip_with(tx.split_by(text, pattern), F.transform(found, fn), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))),
-        "",
-    )
-    return F.when(text.rlike(opening), done).otherwise(text)
+
+    def rewritten(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), fn)
+        return F.array_join(
+            F.zip_with(tx.split_by(t, pattern), found, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""
+        )
+
+    return let(text, lambda t: F.when(t.rlike(opening), rewritten(t)).otherwise(t))
 
 
 def open_tag(element: Column) -> Column:
@@ -155,7 +158,7 @@ def flatten_tags(body: Column) -> Column:
     """EXT-11..13: resolve dynamic tags from the inside out; what is nested deeper than the limit is dropped."""
     levels = F.array_repeat(F.lit(0), fv.MAX_TAG_DEPTH + 1)
     flat = F.aggregate(levels, body, lambda t, _: F.when(t.contains("<"), _one_level(t)).otherwise(t))
-    flat = F.when(flat.contains("<"), F.regexp_replace(flat, r"<[^<>]*>", " ")).otherwise(flat)
+    flat = let(flat, lambda t: F.when(t.contains("<"), F.regexp_replace(t, r"<[^<>]*>", " ")).otherwise(t))
     return tx.normalize(F.translate(flat, WHEN_OPEN + WHEN_CLOSE + ELSE_OPEN + ELSE_CLOSE, "    "))
 
 

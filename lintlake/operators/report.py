@@ -211,28 +211,20 @@ def report_summary(found: DataFrame, total_files: DataFrame) -> DataFrame:
 # --- hotspots (AGG-11..13) ------------------------------------------------------------------------------------
 
 
-def _top(counts: DataFrame, total: Column, n: int) -> DataFrame:
-    best = counts.orderBy(F.desc("cnt"), F.asc("label")).limit(n)
-    return best.withColumn("ratio", one_decimal(F.col("cnt") * 100.0 / F.greatest(total, F.lit(1))))
-
-
 def hotspots_by_file(found: DataFrame, locations: DataFrame) -> DataFrame:
-    """AGG-11: issues times places per file, the eight highest.
+    """AGG-11: issues times places per file, the eight highest; shares are of the highest.
 
     Places are counted per (statement, file) in the map tasks first; a statement with very
-    many places is spread over tasks by file.
+    many places is spread over tasks by file.  Only the eight rows meet in one window.
     """
-    risky = found.where(F.col("issue_count") > 0).select("stmt_key", "issue_count", "location_count")
+    risky = found.where(F.col("issue_count") > 0).select("stmt_key", "issue_count")
     places = locations.groupBy("stmt_key", "path").agg(F.count(F.lit(1)).alias("places"))
     hit = hot_key_join(places, risky, ["stmt_key"], "inner", F.col("path"))
-    known = hit.select(safe(F.col("path"), "Unknown").alias("label"), (F.col("places") * F.col("issue_count")).alias("n"))
-    homeless = risky.where(F.coalesce("location_count", F.lit(0)) == 0).select(
-        F.lit("Unknown").alias("label"), F.col("issue_count").alias("n"))
-    counts = known.unionByName(homeless).groupBy("label").agg(F.sum("n").alias("cnt"))
+    counts = hit.groupBy(safe(F.col("path"), "Unknown").alias("label")).agg(
+        F.sum(F.col("places") * F.col("issue_count")).alias("cnt"))
     best = counts.orderBy(F.desc("cnt"), F.asc("label")).limit(fv.TOP_STATS)
-    most = best.agg(F.max("cnt").alias("most"))
-    return best.crossJoin(F.broadcast(most)).select(
-        "label", "cnt", one_decimal(F.col("cnt") * 100.0 / F.greatest("most", F.lit(1))).alias("ratio"))
+    most = F.max("cnt").over(Window.partitionBy())
+    return best.withColumn("ratio", one_decimal(F.col("cnt") * 100.0 / F.greatest(most, F.lit(1))))
 
 
 def rule_counts(found: DataFrame) -> DataFrame:
@@ -246,11 +238,11 @@ def rule_counts(found: DataFrame) -> DataFrame:
 
 
 def hotspots_by_rule(found: DataFrame, n: int = fv.TOP_STATS) -> DataFrame:
-    """AGG-12: the rules with the most issues; the share is of all issues."""
-    counts = rule_counts(found)
-    all_issues = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"))
-    joined = counts.crossJoin(F.broadcast(all_issues))
-    return _top(joined, F.col("total"), n).drop("total")
+    """AGG-12: the rules with the most issues; shares are of all issues (one row per rule in the window)."""
+    total = F.sum("cnt").over(Window.partitionBy())
+    counts = rule_counts(found).withColumn(
+        "ratio", one_decimal(F.col("cnt") * 100.0 / F.greatest(total, F.lit(1))))
+    return counts.orderBy(F.desc("cnt"), F.asc("label")).limit(n)
 
 
 def hotspots_by_severity(found: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.functions.sqltext import once
+from lintlake.functions.text import looks_like_sql
+
 # One statement per event: template number = event_id % 32; {e} = event_id, {u} = user_id.
 TEMPLATES = [
     "SELECT * FROM orders_{u} WHERE o_orderkey = {e}",
@@ -98,12 +101,10 @@ def raw_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(svc, F.lit("/src/main/java/")))
         .alias("dir"),
         (1 + e % 200).cast("int").alias("line"),
-        fill(pick(e % len(TEMPLATES), TEMPLATES), e, u).alias("sql"),
+        once(fill(pick(e % len(TEMPLATES), TEMPLATES), e, u)).alias("sql"),
     )
     return ev.select("occ_id", F.concat("dir", "file_name").alias("path"), "file_name", "line", "source_type", "sql")
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lintlake.functions.text import looks_like_sql
-
     return raw_occurrences(spark, sf_dir).where(looks_like_sql(F.col("sql")))

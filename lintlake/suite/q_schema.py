@@ -224,10 +224,9 @@ def _(spark, sf):
 
 
 @query("sch_14_risk_order", with_(
-    "SELECT stmt_id, table_name, severity FROM sch_risk ORDER BY severity DESC, table_name, stmt_id LIMIT 200", "sch_risk"))
+    "SELECT stmt_id, table_name, severity FROM sch_risk ORDER BY severity DESC, table_name, stmt_id", "sch_risk"))
 def _(spark, sf):
-    # a report page: the first 200 risks in report order
-    return sch.order_risks(_risks(spark, sf)).select("stmt_id", "table_name", "severity").limit(200)
+    return sch.order_risks(_risks(spark, sf)).select("stmt_id", "table_name", "severity")
 
 
 @query("sch_15_table_coverage", with_(
