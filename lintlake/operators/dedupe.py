@@ -23,17 +23,21 @@ def dedupe(occ: DataFrame) -> DataFrame:
     """DED-1: one row per fingerprint, first text by (path, line, source_type).
 
     Minimum and count combine in the map tasks, so a hot fingerprint sends one row per task.
+    The fingerprint text does not travel: it is made again from the kept text.
     """
     order = ["path", "line", "source_type", "sql"]
     extra = [c for c in ("occ_id",) if c in occ.columns]
-    first = F.min(F.struct(*order, *extra, "file_name", "abstract_sql")).alias("first")
-    out = with_fingerprint(occ).groupBy("stmt_key").agg(first, F.count(F.lit(1)).alias("location_count"))
+    keyed = occ.select(
+        tx.sql_hash(F.upper(tx.abstract_sql(F.col("sql")))).alias("stmt_key"), *order, *extra, "file_name")
+    first = F.min(F.struct(*order, *extra, "file_name")).alias("first")
+    kept = keyed.groupBy("stmt_key").agg(first, F.count(F.lit(1)).alias("location_count"))
+    out = kept.withColumn("abstract_sql", tx.abstract_sql(F.col("first.sql")))
     return out.select(
-        tx.sql_id(F.col("first.abstract_sql")).alias("stmt_id"),
+        tx.sql_id(F.col("abstract_sql")).alias("stmt_id"),
         "stmt_key",
         tx.sql_type(F.col("first.sql")).alias("sql_type"),
         F.col("first.sql").alias("original_sql"),
-        F.col("first.abstract_sql").alias("abstract_sql"),
+        "abstract_sql",
         F.col("first.source_type").alias("source_type"),
         F.col("first.path").alias("first_path"),
         F.col("first.file_name").alias("first_file"),

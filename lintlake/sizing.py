@@ -22,14 +22,17 @@ def hot_key_join(
 ) -> DataFrame:
     """Join a frame whose keys may be hot with one that has each key once.
 
-    A right side within the broadcast limit is joined as it is: Spark sends it to the
-    tasks and no key travels.  Beyond the limit the rows of one key are spread over
-    ``buckets`` shuffle keys by ``salt`` (a column of the left side that differs between
-    the rows of a key) and the right side is repeated once per bucket, so a key with a
-    third of all rows is shared by many tasks.  Every row is kept in both forms.
+    A right side whose planned size is within the broadcast limit is joined as it is: by the
+    same check Spark sends it to the tasks and no key travels.  Beyond the limit the rows of
+    one key are spread over ``buckets`` shuffle keys by ``salt`` (a column of the left side
+    that differs between the rows of a key) and the right side is repeated once per bucket,
+    so a key with a third of all rows is shared by many tasks.  Every row is kept in both
+    forms.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"a salted join cannot keep unmatched right rows: {how}")
     if fits_broadcast(right):
-        return left.join(F.broadcast(right), keys, how)
+        return left.join(right, keys, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
