@@ -9,7 +9,7 @@ from lintlake import fixed_values as fv
 from lintlake.functions.sqltext import once, quote, sql_array, sql_map
 from lintlake.operators.report import has_any, hotspots_by_rule, safe
 from lintlake.operators.scoring import severity_rank
-from lintlake.sizing import constant_frame, hot_key_join
+from lintlake.sizing import constant_frame, hot_key_join, only_row
 
 
 def _is(c: str, rules: list[str]) -> Column:
@@ -241,7 +241,7 @@ def remediation_summary(task_frame: DataFrame, campaign_frame: DataFrame) -> Dat
     )
     focus = fv.FIRST_PASS_FOCUS
     n = campaign_frame.agg(F.count(F.lit(1)).alias("campaign_count"))
-    return t.crossJoin(F.broadcast(n)).select(
+    return t.withColumn("campaign_count", n.scalar()).select(
         "campaign_count", "task_count", "confirmed_count", "likely_count", "review_count",
         F.when(F.col("task_count") == 0, focus["NONE"]).when(F.col("p0") > 0, focus["P0"])
         .when(F.col("p1") > 0, focus["P1"]).otherwise(focus["P2"]).alias("first_pass_focus"),
@@ -264,7 +264,7 @@ def review_counts(found: DataFrame, diagnostic_rows: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(has_any(["SELECT_WITHOUT_WHERE", "ORDER_BY_WITHOUT_LIMIT"])), F.lit(False)).alias(
             "has_unbounded"),
     )
-    return d.crossJoin(F.broadcast(f))
+    return d.withColumn("_f", only_row(f)).select("*", "_f.*").drop("_f")
 
 
 def _texts(*items: tuple) -> Column:
@@ -273,9 +273,9 @@ def _texts(*items: tuple) -> Column:
 
 def confidence(summary: DataFrame, counts: DataFrame, schema: DataFrame | None = None) -> DataFrame:
     """REM-14: one row: level, evidence sources, limitations."""
-    one = summary.select("explain_coverage").crossJoin(F.broadcast(counts))
+    one = counts.withColumn("explain_coverage", summary.select("explain_coverage").scalar())
     if schema is not None:
-        one = one.crossJoin(F.broadcast(schema.select("ddl_detected", "missing_count")))
+        one = one.withColumn("_s", only_row(schema, "ddl_detected", "missing_count")).select("*", "_s.*")
     else:
         one = one.withColumns({"ddl_detected": F.lit(False), "missing_count": F.lit(0).cast("bigint")})
     some = lambda c: F.col(c) > 0
@@ -301,10 +301,13 @@ def executive_summary(
     top = hotspots_by_rule(found, fv.TOP_DRIVERS).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("o"), "label", "cnt"))).alias("d")
     ).select(F.transform("d", lambda x: F.concat(x["label"], F.lit(" × "), x["cnt"].cast("string"))).alias("top_drivers"))
-    one = summary.select("risk_level", "total_issues").crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(top)).crossJoin(
-        F.broadcast(confidence_row.select("level")))
+    one = counts.withColumns({
+        "_r": only_row(summary, "risk_level", "total_issues"),
+        "top_drivers": top.scalar(),
+        "level": confidence_row.select("level").scalar(),
+    }).select("*", "_r.*")
     if schema is not None:
-        one = one.crossJoin(F.broadcast(schema.select("ddl_detected", "unindexed_count", "missing_count")))
+        one = one.withColumn("_s", only_row(schema, "ddl_detected", "unindexed_count", "missing_count")).select("*", "_s.*")
         by_schema = F.col("ddl_detected") & ((F.col("unindexed_count") > 0) | (F.col("missing_count") > 0))
     else:
         by_schema = F.lit(False)

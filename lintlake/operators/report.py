@@ -196,7 +196,7 @@ def report_summary(found: DataFrame, total_files: DataFrame) -> DataFrame:
     )
     share = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise(one_decimal(F.col(a) * 100.0 / F.col(b)))
     crit, warn = F.col("critical_issues"), F.col("warning_issues")
-    return agg.crossJoin(F.broadcast(total_files.select("total_files"))).select(
+    return agg.withColumn("total_files", total_files.select("total_files").scalar()).select(
         "total_files", "total_sql", "unique_sql", "issue_sql",
         (F.col("unique_sql") - F.col("issue_sql")).alias("clean_sql"),
         "total_issues", "critical_issues", "warning_issues", "info_issues",

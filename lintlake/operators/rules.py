@@ -389,7 +389,7 @@ def lint(
     the fallback checks on the others; ``full`` runs smells and rules on every statement;
     ``rules``, ``smells``, ``basic`` and ``fallback`` run only those checks.
     The list is bounded by the number of rules.  With a ``config`` frame, thresholds,
-    severities, switched-off rules and exceptions are taken from it (one broadcast row).
+    severities, switched-off rules and exceptions are taken from it (a map of rules, one value for all rows).
     """
     active = (rules or RuleSet()).active()
     base = list(stmts.columns)
@@ -397,7 +397,7 @@ def lint(
     if config is not None:
         entry = F.struct("enabled", "severity", "exceptions", "params")
         one_row = config.agg(F.map_from_entries(F.collect_list(F.struct("rule_id", entry))).alias("t_cfg"))
-        work = work.crossJoin(F.broadcast(one_row))
+        work = work.withColumn("t_cfg", one_row.scalar())
     cfg = ["t_cfg"] if config is not None else []
     sql = F.col(sql_col)
     mask = F.col("masked") if "masked" in base and sql_col == "norm" else tx.masked(sql)

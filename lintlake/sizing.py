@@ -1,4 +1,4 @@
-"""Size-checked joins: broadcast only below Spark's own limit, salt hot keys beyond it."""
+"""Joins that stand hot keys, and small fixed or one-row frames."""
 
 from __future__ import annotations
 
@@ -38,6 +38,11 @@ def hot_key_join(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
+def only_row(df: DataFrame, *columns: str) -> Column:
+    """The single row of an aggregated frame as a struct column (a scalar subquery, run once)."""
+    return df.select(F.struct(*(columns or df.columns)).alias("row")).scalar()
+
+
 def constant_frame(spark, rows: list[tuple], names: list[str]) -> DataFrame:
     """A frame of fixed rows made inside the plan; its size is that of the code."""
 

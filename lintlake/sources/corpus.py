@@ -96,6 +96,6 @@ def file_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def drop_large(files: DataFrame, mb: int = fv.MAX_FILE_MB) -> DataFrame:
+def drop_large(files: DataFrame, mb: float = fv.MAX_FILE_MB) -> DataFrame:
     """SRC-8."""
-    return files.where(F.octet_length("content") <= mb * 1024 * 1024)
+    return files.where(F.octet_length("content") <= int(mb * 1024 * 1024))

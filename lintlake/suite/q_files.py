@@ -53,12 +53,12 @@ def _(spark, sf):
 
 
 @query("src_08_drop_large",
-       "SELECT doc_id FROM documents WHERE octet_length(encode(text)) <= 1048576")
+       "SELECT doc_id FROM documents WHERE octet_length(encode(text)) <= 5242")
 def _(spark, sf):
     from lintlake.suite.corpus import table
 
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    return src.drop_large(docs, mb=1).select("doc_id")
+    return src.drop_large(docs, mb=0.005).select("doc_id")
 
 
 def _extractor(name: str, fn, which: str):

@@ -539,8 +539,8 @@ def _(spark, sf):
 def report_sections(spark, sf) -> dict[str, DataFrame]:
     found, loc = all_findings(spark, sf, keep=True), all_locations(spark, sf)
     task_rows = rem.tasks(found)
-    one, schema = summary(spark, sf, found), _schema_row(spark, sf)
-    counts = rem.review_counts(found, rp.diagnostics(found))
+    one, schema = materialized(summary(spark, sf, found)), materialized(_schema_row(spark, sf))
+    counts = materialized(rem.review_counts(found, rp.diagnostics(found)))
     trust = rem.confidence(one, counts, schema)
     return {
         "metadata": rp.metadata(spark, "corpus", sf),
@@ -570,6 +570,23 @@ def _(spark, sf):
     return rows.select(F.get_json_object("json", "$.stmt_id").alias("stmt_id"), "json", "section")
 
 
+_KIND_ROWS = " + ".join(f"(SELECT least(6, count(*)) FROM finding WHERE {k[0]})" for k in _KINDS.values())
+
+
+@query("out_01_report_sections", with_(
+    f"""SELECT * FROM (VALUES ('metadata', '', 1), ('summary', '', 1), ('schemaAnalysis', '', 1), ('executiveSummary', '', 1),
+  ('confidence', '', 1), ('hotspots', 'bySeverity', 3), ('hotspots', 'byFile', 8), ('remediation', 'summary', 1),
+  ('remediation', 'recipes', 7)) v(section, part, cnt)
+  UNION ALL SELECT 'hotspots', 'byRule', least(8, count(DISTINCT type)) FROM all_issue
+  UNION ALL SELECT 'insights', '', {_KIND_ROWS}
+  UNION ALL SELECT 'findings', '', count(*) FROM finding UNION ALL SELECT 'diagnostics', '', count(*) FROM diagnostic
+  UNION ALL SELECT 'campaigns', '', count(DISTINCT campaign_id) FROM member
+  UNION ALL SELECT 'remediation', 'tasks', count(*) FROM task""", "all_issue", "diagnostic", "member", "task"))
+def _(spark, sf):
+    rows = rp.report_json(report_sections(spark, sf))
+    return rows.where(F.col("json").startswith("{")).groupBy("section", "part").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 @query("out_02_result_store", with_(
     "SELECT stmt_id, first_path, CASE WHEN first_occ_id % 2 = 0 THEN 'scan-b' ELSE 'scan-a' END AS scan_id FROM stmt", "stmt"))
 def _(spark, sf):
