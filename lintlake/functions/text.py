@@ -229,40 +229,43 @@ CUT = "\x07"
 _SET_OPS = r" (?:UNION ALL|UNION DISTINCT|UNION|INTERSECT|EXCEPT|MINUS) "
 
 
-def collapse(m: Column, collect: bool) -> Column:
-    """Replace the innermost parentheses by ``~`` until none is left.
+def _collapsed(m: Column) -> Column:
+    """Replace the innermost parentheses by ``~`` until none is left: struct(text, found, open).
 
-    One pass removes one level and at least one ``(``, so as many passes as there are
-    ``(`` always suffice; a pass over finished text only tests for ``(``.
+    ``found`` collects the SELECTs met on the way.  One pass removes one level, so as many
+    rounds as there are ``(`` always suffice; once a pass changes nothing or leaves no ``(``
+    the remaining rounds only read a flag, which keeps a statement with very many
+    parentheses (a bulk insert, say) cheap.
     """
     rounds = F.array_repeat(F.lit(0), F.regexp_count(m, F.lit(r"\(")).cast("int"))
-    if not collect:
-        return F.aggregate(
-            rounds, m, lambda t, _: F.when(t.contains("("), F.regexp_replace(t, _INNER, "~")).otherwise(t)
+    none = F.array().cast("array<string>")
+
+    def state(text: Column, found: Column, is_open: Column) -> Column:
+        return F.struct(text.alias("text"), found.alias("found"), is_open.alias("open"))
+
+    def one_pass(s: Column) -> Column:
+        more = F.concat(s["found"], F.regexp_extract_all(s["text"], F.lit(_INNER_SELECT), F.lit(1)))
+        return let(
+            F.regexp_replace(s["text"], _INNER, "~"),
+            lambda t: state(t, more, t.contains("(") & (t != s["text"])),
         )
-    start = F.struct(m.alias("text"), F.array().cast("array<string>").alias("found"))
-    return F.aggregate(
-        rounds,
-        start,
-        lambda s, _: F.when(
-            s["text"].contains("("),
-            F.struct(
-                F.regexp_replace(s["text"], _INNER, "~").alias("text"),
-                F.concat(s["found"], F.regexp_extract_all(s["text"], F.lit(_INNER_SELECT), F.lit(1))).alias("found"),
-            ),
-        ).otherwise(s),
-    )
+
+    return F.aggregate(rounds, state(m, none, F.lit(True)), lambda s, _: F.when(s["open"], one_pass(s)).otherwise(s))
+
+
+def collapse(m: Column) -> Column:
+    return _collapsed(m)["text"]
 
 
 def skeleton(m: Column) -> Column:
     """PRE-11: top-level clauses of a masked text, every parenthesis reduced to ``~``."""
-    return F.regexp_replace(collapse(m, collect=False), _WITH_HEAD, "")
+    return F.regexp_replace(collapse(m), _WITH_HEAD, "")
 
 
 def select_blocks(m: Column) -> Column:
     """PRE-12: the top-level SELECT, the branches of set operations, the derived tables."""
     texts = let(
-        collapse(m, collect=True),
+        _collapsed(m),
         lambda s: F.concat(F.array(F.regexp_replace(s["text"], _WITH_HEAD, "")), s["found"]),
     )
     parts = F.flatten(F.transform(texts, lambda t: split_by(t, _SET_OPS)))

@@ -131,3 +131,12 @@ def test_score_frames_agree_and_stay_in_range(stmts):
 def test_unknown_profile(stmts, profile):
     with pytest.raises(ValueError):
         ru.lint(stmts(["SELECT 1 FROM t"]), profile=profile)
+
+
+def test_bulk_insert_and_open_parentheses(stmts):
+    bulk = "INSERT INTO t (a, b) VALUES " + ", ".join(f"({i}, 'x{i}')" for i in range(40_000))
+    torn = "SELECT a FROM t WHERE b = " + "(" * 20_000
+    got = found(stmts, [bulk, torn, "SELECT a FROM (SELECT * FROM u) x WHERE a = f(g(1))"])
+    assert got[0] == {"long-sql-statement"}
+    assert got[1] == {"long-sql-statement", "complex-subquery"}
+    assert got[2] == {"select-star", "missing-where"}
