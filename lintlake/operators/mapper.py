@@ -68,7 +68,7 @@ def set_clause(body: Column) -> Column:
 
 
 def _first_override(text: Column, overrides: Column, test: Callable[[Column, Column], Column]) -> Column:
-    tokens = F.transform(F.split(overrides, r"\|"), F.trim)
+    tokens = F.transform(F.split(overrides, r"\|"), lambda k: F.trim(k))
     return F.coalesce(F.get(F.filter(tokens, lambda k: (k != "") & test(F.upper(text), F.upper(k))), F.lit(0)), F.lit(""))
 
 

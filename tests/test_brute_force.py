@@ -140,3 +140,71 @@ def test_only_row(spark):
     one = spark.range(5).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
     got = spark.range(2).withColumn("o", only_row(one)).select("id", "o.*").collect()
     assert [tuple(r) for r in got] == [(0, 5, 4), (1, 5, 4)]
+
+
+def one_space(t):
+    return re.sub(r"\s+", " ", t).strip()
+
+
+def random_mapper(rnd, depth):
+    """A random body of dynamic tags and the text it must become."""
+    xml, out = [], []
+    for _ in range(rnd.randint(0, 3)):
+        kind = rnd.choice(["text", "text", "if", "where", "set", "trim", "foreach", "choose", "other"]) if depth else "text"
+        if kind == "text":
+            t = rnd.choice(["a = 1", "AND b = 2", "or c = 3", ", d = 4", "e = 5,", " ", "x &lt; 3", "ORDER", "and"])
+            xml.append(t + " ")
+            out.append(t)
+            continue
+        if kind == "choose":
+            body, picked = [], None
+            for _ in range(rnd.randint(0, 2)):
+                x, e = random_mapper(rnd, depth - 1)
+                body.append(f"<when test='q != \"1\"'>{x}</when>")
+                picked = picked or e or None
+            if rnd.random() < 0.6:
+                x, e = random_mapper(rnd, depth - 1)
+                body.append(f"<otherwise>{x}</otherwise>")
+                picked = picked or e
+            xml.append("<choose>\n" + "\n".join(body) + "</choose>")
+            out.append(picked or "")
+            continue
+        x, e = random_mapper(rnd, depth - 1)
+        if kind == "if":
+            xml.append(f'<if test="p > 1">{x}</if>')
+        elif kind == "other":
+            xml.append(f"<bean:x y='2'>{x}</bean:x>")
+        elif kind == "foreach":
+            xml.append(f'<foreach collection="c" open="(" item="i" close=")">{x}</foreach>')
+            e = f"({e or '1'})"
+        elif kind == "where":
+            xml.append(f"<where>{x}</where>")
+            e = re.sub(r"(?i)^(AND|OR)\s+", "", e)
+            e = f"WHERE {e}" if e else ""
+        elif kind == "set":
+            xml.append(f"<set>{x}</set>")
+            e = re.sub(r"\s*,\s*$", "", re.sub(r"^\s*,\s*", "", e))
+            e = f"SET {e}" if e else ""
+        else:
+            xml.append(f'<trim prefix="P" prefixOverrides="AND |OR" suffixOverrides=",|4">{x}</trim>')
+            for token in ("AND", "OR"):
+                if e.upper().startswith(token):
+                    e = e[len(token):].strip()
+                    break
+            for token in (",", "4"):
+                if e.endswith(token):
+                    e = e[: -len(token)].strip()
+                    break
+            e = f"P {e}" if e else ""
+        out.append(e)
+    return "".join(xml), one_space(" ".join(out))
+
+
+def test_dynamic_tags(spark):
+    from lintlake.operators.mapper import flatten_tags
+
+    rnd = random.Random(21)
+    cases = [random_mapper(rnd, rnd.randint(1, 5)) for _ in range(1500)]
+    got = run(spark, [x for x, _ in cases], flatten_tags)
+    for (x, want), g in zip(cases, got):
+        assert g == want, x
