@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lintlake.suite import all_queries, all_twins
 
 SF = "/root/testdata/sf0.001"
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+QUERIES, TWINS = all_queries(), all_twins()
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +40,10 @@ def test_every_query_has_a_twin():
     assert set(QUERIES) == set(TWINS)
 
 
+def test_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(TWINS) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["label", "cnt", "ratio"] and df.count() == 8
