@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ngram_join", "language", "exact_dedup", "mixing", "bpe", "topk", "chat", "substring_dedup"]
+MODULES = ["ngram_join", "language", "exact_dedup", "mixing", "bpe", "topk", "chat", "quality", "substring_dedup"]
 
 
 def queries() -> dict:
