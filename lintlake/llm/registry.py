@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ngram_join", "language", "exact_dedup", "mixing", "bpe", "topk", "chat", "quality", "substring_dedup"]
+MODULES = ["ngram_join", "language", "secrets", "exact_dedup", "mixing", "bpe", "topk", "chat", "quality", "substring_dedup"]
 
 
 def queries() -> dict:
@@ -12,6 +12,9 @@ def queries() -> dict:
     for m in MODULES:
         mod = import_module(f"lintlake.llm.{m}")
         out[mod.QUERY_NAME] = mod.query
+    import corpus_pipeline
+
+    out["pipeline"] = corpus_pipeline.run
     return out
 
 
