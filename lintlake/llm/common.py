@@ -47,6 +47,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, what: str, key: str) -> DataFrame:
+    """Like ``written``, bucketed by ``key``: grouping or joining by it later does not move the rows again."""
+    spark = df.sparkSession
+    name = f"llm_{what}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", new_path(spark, what)).bucketBy(buckets, key).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay, and the frame knows them
+    return out
+
+
 def written_so_far() -> int:
     return len(_written)
 

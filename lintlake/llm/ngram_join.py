@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import blob, lowered, mix, table, window_hashes, word_bounds, word_hashes, written
+from lintlake.llm.common import blob, lowered, mix, table, window_hashes, word_bounds, word_hashes, written, written_by
 from lintlake.llm.components import connected
 from lintlake.llm.packs import classes_of, counters, merged_counts, occupied, opened, write_packs
 from lintlake.llm.signature_tree import linked_groups
@@ -100,8 +100,21 @@ def _sets_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
             "pack": pa.array([pack] * len(ids), pa.int64()), "ord": pa.array(out["ord"], pa.int64()),
             "tokens": pa.array(out["tokens"], pa.binary()), "prefix": pa.array(out["prefix"], pa.binary())})
 
-    return written(packs.groupBy("pack").cogroup(counts.groupBy("pack")).applyInArrow(
-        keep, "doc_id long, n long, class_id long, pack long, ord long, tokens binary, prefix binary"), "sets")
+    return written_by(packs.groupBy("pack").cogroup(counts.groupBy("pack")).applyInArrow(
+        keep, "doc_id long, n long, class_id long, pack long, ord long, tokens binary, prefix binary"), "sets", "pack")
+
+
+def _deal(open_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (pack, ord, ...) with the tokens of its sets, which leave their pack only here."""
+    names = [c for c in wanted.columns if c not in ("pack", "ord")]
+
+    def pick(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        place = {o: i for i, o in enumerate(left.column("ord").to_pylist())}
+        at = pa.array([place[o] for o in right.column("ord").to_pylist()], pa.int64())
+        return right.select(names).append_column("tokens", left.column("tokens").take(at))
+
+    kinds = ", ".join(f"{n} {t}" for n, t in wanted.dtypes if n in names)
+    return open_.select("pack", "ord", "tokens").groupBy("pack").cogroup(wanted.groupBy("pack")).applyInArrow(pick, f"{kinds}, tokens binary")
 
 
 def _stars(token: np.ndarray, node: np.ndarray):
@@ -195,8 +208,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         "unit", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("region"), F.lit(bins))).otherwise(F.xxhash64("region", "chunk"))).withColumn(
         "single", F.col("chunks") == 1)
     plan = written(plan.select("class_id", "pack", "ord", "region", "chunk", "unit", "single"), "plan")
-    body = open_.select("class_id", "pack", "ord", "tokens")
-    found = plan.join(body, ["class_id", "pack", "ord"]).groupBy("unit", "single").applyInArrow(
+    found = _deal(open_, plan).groupBy("unit", "single").applyInArrow(
         lambda t: _group_rows(t, percent), "class_id long, region long, chunk int, root long")
     found = written(found, "found")
 
@@ -210,7 +222,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             "class_id", "pack", "ord", "region", "to", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block"), "root", F.lit(True).alias("visitor"))
         at_home = big.join(blocks, "region").select(
             "class_id", "pack", "ord", "region", F.col("chunk").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "root", F.lit(False).alias("visitor"))
-        cross = visiting.unionByName(at_home).join(body, ["class_id", "pack", "ord"]).groupBy("region", "to", "block").applyInArrow(
+        cross = _deal(open_, visiting.unionByName(at_home)).groupBy("region", "to", "block").applyInArrow(
             lambda t: _cross_rows(t, percent), "a long, b long")
         joined = written(connected(written(cross.distinct(), "cross")).withColumnRenamed("root", "final"), "joined")
         roots = written(roots, "roots")

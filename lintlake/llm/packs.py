@@ -13,15 +13,13 @@ is counted once is alone in the input.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import blob, buffers, new_path, pow2_at_least, slices, word_bounds, written
+from lintlake.llm.common import blob, buffers, pow2_at_least, slices, word_bounds, written, written_by
 
 PACK_BYTES = 4 << 20
 SEGMENT_WINDOWS = 4 << 20
@@ -30,7 +28,6 @@ _PACK_SCHEMA = "pack long, n_docs long, n_words long, ids binary, no_id binary,
 
 def write_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A bucketed table of packs; null text counts as empty, null ids are marked in ``no_id``."""
-    spark = docs.sparkSession
 
     def pack(batches):
         seq = TaskContext.get().partitionId() << 32
@@ -50,13 +47,7 @@ def write_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             seq += 1
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"llm_packs_{uuid.uuid4().hex}"
-    (rows.mapInArrow(pack, _PACK_SCHEMA).write.format("parquet").option("path", new_path(spark, "packs"))
-     .bucketBy(buckets, "pack").saveAsTable(name))
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # external: the files stay, and the frame knows them
-    return out
+    return written_by(rows.mapInArrow(pack, _PACK_SCHEMA), "packs", "pack")
 
 
 def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
