@@ -33,7 +33,7 @@ from lintlake.llm.signature_tree import linked_groups
 QUERY_NAME = "op1_ngram_join"
 WIDTH = 5
 PERCENT = 80
-CHUNK_SETS = 1024
+CHUNK_SETS = 256
 CHUNK_TOKENS = 1 << 20
 
 
