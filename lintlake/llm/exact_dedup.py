@@ -50,7 +50,8 @@ class DigestIndex:
 
     def ingest(self, batch: DataFrame) -> None:
         """Append the digests of ``batch`` (doc_id, digest) that are not known yet."""
-        groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        # written before the join, which would otherwise be moved below the grouping and see every copy
+        groups = written(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "batch")
         new = groups.join(self.rows().hint("merge"), "digest", "left_anti").select("digest", "keep_id")
         # a written table first: a plan must not read the table that it appends to
         written(new, "new-digests").repartition(self.buckets, "digest").write.insertInto(self.name)
