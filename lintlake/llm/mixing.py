@@ -27,7 +27,7 @@ from lintlake.llm.common import buffers, table, word_bounds, written
 
 QUERY_NAME = "op5_mixing"
 MOST_COPIES = 3
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 512
 FAN_IN = 256
 SEED = 20240601
 
