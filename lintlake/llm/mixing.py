@@ -27,7 +27,7 @@ from lintlake.llm.common import buffers, table, word_bounds, written
 
 QUERY_NAME = "op5_mixing"
 MOST_COPIES = 3
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 FAN_IN = 256
 SEED = 20240601
 
@@ -54,7 +54,7 @@ def source_targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     s = s.withColumn("w", (1 + F.pmod(F.row_number().over(by_name) - 1, F.lit(3))).cast("double")).withColumn("cap", (F.col("source_size") * most).cast("double"))
     order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
+    everything = Window.partitionBy(F.lit(0))
     s = s.withColumns({
         "words_left": F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)),
         "weight_left": F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))})
@@ -152,17 +152,16 @@ def mix(docs: DataFrame, most: int = MOST_COPIES) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mixture itself: each row of ``docs`` as often as it is taken."""
-    copies = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    names = ["_id", "_no_id", "_source", "_no_source", "_size"]
-    key = lambda id_, source, size: [F.coalesce(id_, F.lit(0)), id_.isNull(), F.coalesce(source, F.lit("")), source.isNull(), size]
-    copies = copies.select(*[c.alias(n) for n, c in zip(names, key(F.col("doc_id"), F.col("source"), F.col("size")))], "copies", "rows")
-    sized = docs.withColumns(dict(zip(names, key(F.col("doc_id"), F.col("source"), word_count(F.col("text").cast("binary"))))))
-    found = sized.join(copies, names)
+    names = [f"__mix_{n}" for n in ("id", "no_id", "source", "no_source", "size")]
+    key = lambda size: [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("source", F.lit("")), F.col("source").isNull(), size]
+    copies = mix(docs).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__mix_copies"), F.count("*").alias("__mix_rows"))
+    copies = copies.select(*[c.alias(n) for n, c in zip(names, key(F.col("size")))], "__mix_copies", "__mix_rows")
+    found = docs.withColumns(dict(zip(names, key(word_count(F.col("text").cast("binary")))))).join(copies, names)
     # rows that cannot be told apart share their copies out: the first gets what does not divide
-    found = found.withColumn("_n", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text"))))
-    mine = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("_n") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
-    found = found.withColumn("_copies", mine.cast("int")).where("_copies > 0")
-    return found.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    found = found.withColumn("__mix_n", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text"))))
+    more = F.when(F.col("__mix_n") <= F.col("__mix_copies") % F.col("__mix_rows"), 1).otherwise(0)
+    found = found.withColumn("__mix_mine", (F.floor(F.col("__mix_copies") / F.col("__mix_rows")) + more).cast("int")).where("__mix_mine > 0")
+    return found.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_mine")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
