@@ -82,10 +82,10 @@ def dedupe(docs: DataFrame, index: DigestIndex | None = None, batches: int = BAT
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each text."""
-    key = [F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("digest").alias("_digest")]
+    key = [F.coalesce("doc_id", F.lit(-1)).alias("__copy_id"), F.col("doc_id").isNull().alias("__copy_no_id"), F.col("digest").alias("__copy_digest")]
     kept = dedupe(docs).where("kept").select(*key).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(-1)), "_no_id": F.col("doc_id").isNull(), "_digest": digest_of(F.col("text").cast("binary"))})
-    names = ["_id", "_no_id", "_digest"]
+    keyed = docs.withColumns({"__copy_id": F.coalesce("doc_id", F.lit(-1)), "__copy_no_id": F.col("doc_id").isNull(), "__copy_digest": digest_of(F.col("text").cast("binary"))})
+    names = ["__copy_id", "__copy_no_id", "__copy_digest"]
     return keyed.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
 
 

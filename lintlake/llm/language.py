@@ -125,7 +125,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is told with a sufficient margin."""
     model = learn(docs, held_out())
-    return docs.withColumn("_language", predict(F.col("text"), docs.sparkSession, model)).where("NOT _language.rejected").drop("_language")
+    return docs.withColumn("__language", predict(F.col("text"), docs.sparkSession, model)).where("NOT __language.rejected").drop("__language")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
