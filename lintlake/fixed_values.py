@@ -45,7 +45,6 @@ DROP_OBJECTS = ["TABLE", "INDEX", "VIEW", "DATABASE", "SCHEMA"]
 # --- Fixed values: mapper tags ---------------------------------------------------
 DYNAMIC_TAGS = ["if", "choose", "when", "otherwise", "foreach", "trim", "where", "set"]
 STATEMENT_TAGS = ["select", "insert", "update", "delete", "selectKey"]
-MAX_TAG_DEPTH = 12
 
 # --- Fixed values: template repair patterns ----------------------------------------
 INCLUDE_MARK = r"/\*\s*INCLUDE:[^*]+\*/"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text as tx
-from lintlake.functions.sqltext import once
+from lintlake.functions.sqltext import let, once
 from lintlake.sources.corpus import extension, file_name
 
 CANDIDATES = "array<struct<line:int,sql:string>>"
@@ -141,7 +141,7 @@ def java_literals(content: Column) -> Column:
 
 def _text_blocks(content: Column) -> Column:
     marked = per_line(content, lambda t, i: F.replace(t, F.lit('"""'), F.concat(F.lit('"""'), line_mark(i))))
-    block = r'"""' + MARK + r'[ \t\r]*\n([^"$]*+)"""'
+    block = r'"""' + MARK + r'[ \t\r]*\n((?:[^"]++|"(?!""))*+)"""'
     found = F.zip_with(
         F.regexp_extract_all(marked, F.lit(block), F.lit(1)),
         F.regexp_extract_all(marked, F.lit(block), F.lit(2)),
@@ -150,20 +150,30 @@ def _text_blocks(content: Column) -> Column:
     return F.filter(found, lambda x: tx.looks_like_sql(x["sql"]))
 
 
-def _balanced(depth: int = 6) -> str:
-    """Parentheses up to ``depth`` levels, quotes respected."""
-    text = r"""[^()"']++|"(?:[^"\\]++|\\(?s:.))*+"|'[^']*+'"""
-    inner = text
-    for _ in range(depth - 1):
-        inner = rf"{text}|\((?:{inner})*+\)"
-    return rf"\((?:{inner})*+\)"
+def _first_call(text: Column) -> Column:
+    """The part of ``text`` up to the parenthesis that closes its first one, at any depth; quotes respected."""
+    token = r"""(?s)"(?:[^"\\]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'|[()]|[^()"']++|["']"""
+
+    def walk(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
+        ends = F.when((s["ends"] == 0) & (t == ")") & (depth == 0), s["at"] + 1).otherwise(s["ends"])
+        return F.struct((s["at"] + 1).alias("at"), depth.alias("depth"), ends.alias("ends"))
+
+    def whole(tokens: Column) -> Column:
+        zero = F.lit(0)
+        ends = F.aggregate(tokens, F.struct(zero.alias("at"), zero.alias("depth"), zero.alias("ends")), walk)["ends"]
+        return F.when(ends > 0, F.array_join(F.slice(tokens, F.lit(1), ends), ""))
+
+    return let(F.regexp_extract_all(text, F.lit(token), F.lit(0)), whole)
 
 
 def _annotation_calls(content: Column, names: str) -> Column:
-    """Each ``@Name(...)`` whose literals carry the number of their line."""
+    """The arguments of each ``@Name(...)``; their literals carry the number of their line."""
     marked = per_line(content, lambda t, i: F.replace(t, F.lit('"'), F.concat(F.lit('"'), line_mark(i))))
-    calls = F.regexp_extract_all(marked, F.lit(rf"(?i)@(?:{names})\s*{_balanced()}"), F.lit(0))
-    return F.when(content.contains("@"), calls).otherwise(F.array().cast("array<string>"))
+    parts = F.split(marked, rf"(?i)@(?:{names})\s*(?=\()")
+    calls = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), _first_call)
+    found = F.filter(calls, lambda c: c.isNotNull())
+    return F.when(content.contains("@"), found).otherwise(F.array().cast("array<string>"))
 
 
 def _call_sql(call: Column) -> Column:

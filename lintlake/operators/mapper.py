@@ -155,9 +155,20 @@ def _one_level(text: Column) -> Column:
 
 
 def flatten_tags(body: Column) -> Column:
-    """EXT-11..13: resolve dynamic tags from the inside out; what is nested deeper than the limit is dropped."""
-    levels = F.array_repeat(F.lit(0), fv.MAX_TAG_DEPTH + 1)
-    flat = F.aggregate(levels, body, lambda t, _: F.when(t.contains("<"), _one_level(t)).otherwise(t))
+    """EXT-11..13: resolve dynamic tags from the inside out, to any depth.
+
+    A pass resolves one level, so as many as there are tags suffice; once a pass changes
+    nothing the others only read a flag.
+    """
+    def state(text: Column, is_open: Column) -> Column:
+        return F.struct(text.alias("text"), is_open.alias("open"))
+
+    def one_pass(s: Column) -> Column:
+        return let(_one_level(s["text"]), lambda t: state(t, t.contains("<") & (t != s["text"])))
+
+    rounds = F.array_repeat(F.lit(0), F.regexp_count(body, F.lit("<[A-Za-z]")).cast("int"))
+    flat = F.aggregate(
+        rounds, state(body, body.contains("<")), lambda s, _: F.when(s["open"], one_pass(s)).otherwise(s))["text"]
     flat = let(flat, lambda t: F.when(t.contains("<"), F.regexp_replace(t, r"<[^<>]*>", " ")).otherwise(t))
     return tx.normalize(F.translate(flat, WHEN_OPEN + WHEN_CLOSE + ELSE_OPEN + ELSE_CLOSE, "    "))
 

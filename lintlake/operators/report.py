@@ -14,6 +14,7 @@ from lintlake.functions import text as tx
 from lintlake.functions.sqltext import once, sql_array, sql_map
 from lintlake.operators.scoring import severity_rank
 from lintlake.plans.nodes import plan_issues, plan_rollup
+from lintlake.session import materialized
 from lintlake.sizing import hot_key_join
 
 EXPLAIN_TYPES = "array<struct<first_no:int,type:string,n:bigint,message:string>>"
@@ -135,24 +136,18 @@ def order_findings(found: DataFrame) -> DataFrame:
 def rank_findings(found: DataFrame) -> DataFrame:
     """AGG-6: exact rank of every finding without sorting them all in one task.
 
-    Findings fall into cells by (severity, issues, score, first hex digits of the id); the
-    id is a hash, so cells stay small.  A rank is the findings in better cells plus the place
-    within the own cell; only cell counts pass through the coarse windows.
+    Findings are dealt out by ranges of the whole sort key, for ids of any form.  A rank is the
+    number of findings in the ranges before plus the place within the own range; the one
+    ordered window is over one row for each range.
     """
-    key = ["sev", "issue_count", "score"]
-    keyed = found.withColumns({"sev": severity_rank(F.col("severity")), "cell": F.substring("stmt_id", 5, 3)})
-    cells = keyed.groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("n"))
-    groups = cells.groupBy(*key).agg(F.sum("n").alias("n"))
-    better = Window.orderBy(F.desc("sev"), F.desc("issue_count"), F.asc("score")).rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select(*key, F.coalesce(F.sum("n").over(better), F.lit(0)).alias("before_group"))
-    in_group = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before_cell", F.coalesce(F.sum("n").over(in_group), F.lit(0))).drop("n")
-    offsets = cells.join(groups, key).select(
-        *key, "cell", (F.col("before_group") + F.col("before_cell")).alias("offset"))
-    place = F.row_number().over(Window.partitionBy(*key, "cell").orderBy("stmt_id"))
-    ranked = keyed.withColumn("_place", place).join(offsets, [*key, "cell"])
-    return ranked.withColumn("finding_rank", (F.col("offset") + F.col("_place")).cast("bigint")).drop(
-        "sev", "cell", "offset", "_place")
+    ranges = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialized(found.repartitionByRange(ranges, *finding_order()).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).select(
+        "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*finding_order()))
+    ranked = dealt.withColumn("_place", place).join(offsets, "_range")
+    return ranked.withColumn("finding_rank", (F.col("_offset") + F.col("_place")).cast("bigint")).drop("_range", "_offset", "_place")
 
 
 # --- summary (AGG-7..10) -----------------------------------------------------------------------------------

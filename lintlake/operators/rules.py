@@ -11,7 +11,7 @@ Texts a rule may use:
 ``t_original``  text as found
 ``t_upper``     upper case, one space
 ``t_masked``    ``t_upper`` with literals emptied
-``t_where``     ``t_masked`` behind the first WHERE, '' when none
+``t_where``     the first WHERE condition of ``t_masked``, without later clauses, '' when none
 ``t_blocks``    array of SELECT blocks
 ==============  ==============================================================
 
@@ -100,6 +100,9 @@ _OTHER_COLUMNS = (
     f"'again', s.again OR ({_LEAD.format('t')} <> '' AND array_contains(s.seen, {_LEAD.format('t')}))), "
     "s -> s.again)"
 )
+#: the clauses behind a WHERE condition; one within a subquery is followed by an open parenthesis' end
+_AFTER_WHERE = r" (?:GROUP BY|HAVING|ORDER BY|LIMIT) (?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+$"
+
 _FUNCTIONS = quote(r"\b(" + "|".join(fv.NON_SARGABLE_FUNCTIONS) + r")\s*\(")
 
 # Deepest nesting: only the parentheses are walked, and only when there are enough of them.
@@ -411,7 +414,7 @@ def lint(
     texts = ["t_sql", "t_original", "t_upper", "t_masked"]
     work = work.select(
         *base, *cfg, *texts,
-        F.regexp_extract("t_masked", r" WHERE (.*)$", 1).alias("t_where"),
+        F.regexp_replace(F.regexp_extract("t_masked", r" WHERE (.*)$", 1), _AFTER_WHERE, "").alias("t_where"),
         tx.select_blocks(F.col("t_masked")).alias("t_blocks"),
     )
     user = {}

@@ -27,12 +27,14 @@ def local_session(cores: str | None = None, partitions: int = 8) -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh one only where it is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of its own only where it is unset in a local session (tests)."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lintlake-checkpoint-"))
     return sc.getCheckpointDir()
 

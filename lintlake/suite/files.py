@@ -27,7 +27,7 @@ class Dao{e} {
 
 JAVA_CONCAT = '''class Job{e} {
     void run() {
-        sql.append("update `orders` set o_custkey="+cust+",o_totalprice="+price+" where o_orderkey="+key+";\\n");
+        text.append("DELETE FROM lineitem WHERE l_orderkey = " + key + " AND l_linenumber IN (" + lines + ")");
         String q = "SELECT o_orderkey " + "FROM orders " + "WHERE o_custkey = {u}";
         String r = head + "SELECT c_name FROM customer WHERE c_name = \\"x{u}\\" AND c_custkey = " + id;
         String t = """
@@ -160,7 +160,7 @@ EXPECTED = {
         0: [(5, "SELECT o_orderkey FROM orders WHERE o_custkey = {u}"),
             (8, "DELETE FROM orders WHERE o_orderkey = {e}"),
             (8, "UPDATE orders SET o_custkey = {u}")],
-        1: [(3, "update `orders` set o_custkey=?,o_totalprice=? where o_orderkey=?;"),
+        1: [(3, "DELETE FROM lineitem WHERE l_orderkey = ? AND l_linenumber IN (?)"),
             (4, "SELECT o_orderkey FROM orders WHERE o_custkey = {u}"),
             (5, 'SELECT c_name FROM customer WHERE c_name = "x{u}" AND c_custkey = ?'),
             (6, "SELECT n_name\n            FROM nation\n            WHERE n_nationkey = {u}")],
@@ -183,7 +183,7 @@ EXPECTED = {
             (1, "DELETE FROM orders WHERE o_orderkey = {e}"),
             (1, "UPDATE orders SET o_custkey = {u}"),
             (1, "SELECT * FROM t_${name} WHERE id = 1")],
-        1: [(1, "update `orders` set o_custkey="),
+        1: [(1, "DELETE FROM lineitem WHERE l_orderkey ="),
             (1, "SELECT o_orderkey"),
             (1, "SELECT c_name FROM customer WHERE c_name = \\"),
             (1, "SELECT n_name\n            FROM nation\n            WHERE n_nationkey = {u}")],

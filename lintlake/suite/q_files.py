@@ -78,8 +78,8 @@ _extractor("ext_15_java_simple", ex.extract_java_simple, "simple")
 
 # one concatenating line per event
 CONCAT = [
-    ('sql.append("update `t` set a="+a+",b="+b+" where id="+id+";\\n");',
-     "update `t` set a=?,b=? where id=?;"),
+    ('out.add("INSERT INTO region (r_regionkey, r_name) VALUES (" + key + ", " + name() + ")");',
+     "INSERT INTO region (r_regionkey, r_name) VALUES (?, ?)"),
     ('String q = "SELECT o_orderkey " + "FROM orders WHERE o_custkey = {u}";',
      "SELECT o_orderkey FROM orders WHERE o_custkey = {u}"),
     ('run(prefix + "note" + "DELETE FROM orders WHERE o_orderkey = {e}" + tail(x), "y");',

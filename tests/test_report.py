@@ -37,6 +37,13 @@ def test_rank_equals_one_global_row_number(spark):
     assert got == want
 
 
+def test_rank_of_ids_of_any_form(spark):
+    ids = ["12345678", "2", "19", "a-zzz", "b-aaa", "log-b", "", "sql-1", "é"]
+    df = spark.createDataFrame([(i, "INFO", 0, 100) for i in ids], "stmt_id string, severity string, issue_count long, score long")
+    got = [r.stmt_id for r in rp.rank_findings(df).orderBy("finding_rank").collect()]
+    assert got == sorted(ids)
+
+
 def test_hotspots_with_a_hot_statement(spark):
     """One statement stands in most places; both join forms count every place."""
     rows = [(f"f{i % 10}.sql", i, "DELETE FROM t") for i in range(400)] + [("f0.sql", 999, "SELECT * FROM x")]

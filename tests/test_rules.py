@@ -140,3 +140,14 @@ def test_bulk_insert_and_open_parentheses(stmts):
     assert got[0] == {"long-sql-statement"}
     assert got[1] == {"long-sql-statement", "complex-subquery"}
     assert got[2] == {"select-star", "missing-where"}
+
+
+def test_only_the_where_condition_counts(stmts):
+    """OR and functions in later clauses are no hits; those behind a subquery's clauses are."""
+    texts = ["SELECT x FROM t WHERE id = 1 GROUP BY x HAVING COUNT(x) = 1 OR MAX(y) = 2",
+             "SELECT x FROM t WHERE id = 1 ORDER BY UPPER(x) LIMIT 5",
+             "SELECT x FROM t WHERE a IN (SELECT b FROM u GROUP BY b) OR c = 2 ORDER BY x LIMIT 1",
+             "SELECT x FROM t WHERE UPPER(x) = 'A' ORDER BY x LIMIT 1"]
+    got = found(stmts, texts)
+    assert ["multi-column-or" in g for g in got] == [False, False, True, False]
+    assert ["function-on-indexed-column" in g for g in got] == [False, False, False, True]
