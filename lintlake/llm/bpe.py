@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from lintlake.llm.common import table
 
 QUERY_NAME = "op6_bpe"
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Fixed value: the split of byte-level tokenizers, as public_tokenizers.PATTERN
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 40

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import blob, buffers, pow2_at_least, slices, word_bounds, written, written_by
 
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 SEGMENT_WINDOWS = 4 << 20
 _PACK_SCHEMA = "pack long, n_docs long, n_words long, ids binary, no_id binary, offs binary, body binary"
 
