@@ -21,6 +21,9 @@ _mine: list[int] = [0, 0]
 
 def _stage(work: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        # whole texts travel to the Python workers in small batches, on both sides of the socket
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         release(spark, *_mine)  # the stage before is stored
         _mine[0] = written_so_far()
         out = work(docs)
