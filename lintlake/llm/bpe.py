@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from lintlake.llm.common import table
 
 QUERY_NAME = "op6_bpe"
-CACHE_PIECES = 150_000
+CACHE_PIECES = 50_000
 #: Fixed value: the split of byte-level tokenizers, as public_tokenizers.PATTERN
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 40
@@ -123,7 +123,7 @@ class Codec:
         known = self.pairs.get((a, b))
         if known is None:
             known = self.pairs[a, b] = self._border(a, b) is not None and (a, b) not in self.merge
-            if len(self.pairs) > 8 * CACHE_PIECES:
+            if len(self.pairs) > 2 * CACHE_PIECES:
                 self.pairs.clear()
         return known
 
