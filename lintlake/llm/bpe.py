@@ -19,7 +19,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import table
+from lintlake.llm.common import table, worker_table
 
 QUERY_NAME = "op6_bpe"
 CACHE_PIECES = 50_000
@@ -79,40 +78,57 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = dict(zip(vocab.values(), vocab)) | {i: s.encode() for s, i in self.special.items()}
         single = {b: vocab[bytes([b])] for b in range(256) if bytes([b]) in vocab}
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}  # pair -> rank, token
-        self.left = {i: [(i, _NEVER)] for i in single.values()}  # pieces on the left edge: token, rank of the merge that consumes it
-        self.right = {i: [(i, _NEVER)] for i in single.values()}
+        top = max(self.bytes_of) + 1
+        self.merge: dict[int, int] = {}  # pair of tokens -> rank
+        #: the merge that makes each token: its two parts and its rank; single bytes have none, -2 marks what is never emitted
+        self.parts = np.full((3, top), -2, np.int32)
+        self.parts[:, list(single.values())] = -1
+        self.chains: dict[int, list[tuple[int, int]]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (vocab[bytes(letters[c] for c in part)] for part in (pair if isinstance(pair, list) else pair.split(" ")))
             token = vocab[self.bytes_of[a] + self.bytes_of[b]]
-            self.merge[a, b] = (rank, token)
+            self.merge[a << 32 | b] = rank
             # a token that plain merging of its own bytes does not give can never be emitted
-            if token not in self.left and a in self.left and b in self.left and self._border(a, b) == (a, b):
-                self.left[token] = [*self.left[a][:-1], (a, rank), (token, _NEVER)]
-                self.right[token] = [*self.right[b][:-1], (b, rank), (token, _NEVER)]
-        self.automaton = ahocorasick.Automaton()
-        for token in self.left:
-            s = self.bytes_of[token].decode("latin-1")
-            self.automaton.add_word(s, (token, len(s)))
+            if self.parts[0, token] == -2 and self.parts[0, a] != -2 and self.parts[0, b] != -2 and self._border(a, b) == (a, b):
+                self.parts[:, token] = a, b, rank
+        self.chains.clear()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token in np.flatnonzero(self.parts[0] != -2).tolist():
+            self.automaton.add_word(self.bytes_of[token].decode("latin-1"), token)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces = _Pieces(self.encode_piece)
         self.split, self.latin, self.beyond = regex.compile(SPLIT), latin_split(), re.compile("[^\\x00-\u024f]")
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.odd: dict[str, bool] = {}
-        top = max(self.bytes_of) + 1
         self.table = [self.bytes_of.get(i, b"") for i in range(top)]
+        self.sizes = [len(b) for b in self.table]
+        del self.bytes_of
+
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Pieces on the left (0) or right (1) edge of a token, smallest first: token, rank of the merge that consumes it."""
+        known = self.chains.get(token << 1 | side)
+        if known is None:
+            known, at, goes = [], token, _NEVER
+            while at >= 0:
+                known.append((at, goes))
+                at, goes = int(self.parts[side, at]), int(self.parts[2, at])
+            known.reverse()
+            if len(self.chains) >= CACHE_PIECES // 4:
+                self.chains.clear()
+            self.chains[token << 1 | side] = known
+        return known
 
     def _border(self, a: int, b: int):
         """The pieces that touch the border of two tokens once each has grown whole, or None if it falls before."""
-        right, left = self.right[a], self.left[b]
+        right, left = self._edge(a, 1), self._edge(b, 0)
         i = j = 0
         while True:
             (x, x_goes), (y, y_goes) = right[i], left[j]
             if x_goes == y_goes == _NEVER:
                 return x, y
-            meets = self.merge.get((x, y))
-            if meets and meets[0] < x_goes and meets[0] <= y_goes:
+            rank = self.merge.get(x << 32 | y)
+            if rank is not None and rank < x_goes and rank <= y_goes:
                 return None
             if x_goes <= y_goes:
                 i += 1
@@ -120,21 +136,22 @@ class Codec:
                 j += 1
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+        pair = a << 32 | b
+        known = self.pairs.get(pair)
         if known is None:
-            known = self.pairs[a, b] = self._border(a, b) is not None and (a, b) not in self.merge
-            if len(self.pairs) > 2 * CACHE_PIECES:
+            if len(self.pairs) >= 2 * CACHE_PIECES:
                 self.pairs.clear()
+            known = self.pairs[pair] = self._border(a, b) is not None and pair not in self.merge
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
         s = piece.decode("latin-1")
         last: list[int] = [-1] * (len(s) + 1)
         back = [0] * (len(s) + 1)
-        for end, (token, length) in self.automaton.iter(s):
+        for end, token in self.automaton.iter(s):
             end += 1
             if last[end] < 0:
-                begin = end - length
+                begin = end - self.sizes[token]
                 if begin == 0 or (last[begin] >= 0 and self.compatible(last[begin], token)):
                     last[end], back[end] = token, begin
         out = []
@@ -172,9 +189,8 @@ class Codec:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return worker_table(("codec", path), lambda: Codec(path))
 
 
 def vocabulary_path() -> str:

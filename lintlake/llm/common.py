@@ -79,6 +79,23 @@ def ascii_lower(c) -> F.Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+# --- tables kept by a Python worker ----------------------------------------------------------
+
+_kept: dict = {}
+
+
+def worker_table(key, make):
+    """A table that a worker makes once and keeps until another one is asked for.
+
+    Spark uses a worker again for other stages, so tables that stayed would add up.
+    """
+    if key not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        _kept[key] = make()
+    return _kept[key]
+
+
 # --- binary columns in Arrow batches ---------------------------------------------------------
 
 

@@ -15,7 +15,6 @@ prediction.
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.llm.common import table
+from lintlake.llm.common import table, worker_table
 
 QUERY_NAME = "op2_language"
 SAMPLE_DOCS = 200  # labelled documents of a language that its dictionary is made from
@@ -67,8 +66,14 @@ def learn(docs: DataFrame, held_out: Column) -> tuple[tuple[str, bytes], ...]:
     return tuple((lang, dictionary(texts[lang])) for lang in sorted(texts))
 
 
-@lru_cache(maxsize=4)
 def _compressors(model: tuple[tuple[str, bytes], ...], look: int) -> list[zs.ZstdCompressor]:
+    looks = worker_table(("language", model), dict)
+    if look not in looks:
+        looks[look] = _made(model, look)
+    return looks[look]
+
+
+def _made(model: tuple[tuple[str, bytes], ...], look: int) -> list[zs.ZstdCompressor]:
     level, changed = LOOKS[look]
     out = []
     for _, words in model:
