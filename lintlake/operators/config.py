@@ -16,29 +16,29 @@ from lintlake.sizing import hot_key_join
 def drop_disabled(issues: DataFrame, config: DataFrame) -> DataFrame:
     """CFG-1: anti join with the rules that are switched off."""
     off = config.where(~F.coalesce(F.col("enabled"), F.lit(True))).select("rule_id").distinct()
-    return hot_key_join(issues, off, ["rule_id"], "left_anti", F.col("stmt_id"))
+    return hot_key_join(issues, off, "rule_id", "left_anti")
 
 
 def drop_excepted(issues: DataFrame, stmts: DataFrame, config: DataFrame, sql_col: str = "norm") -> DataFrame:
     """CFG-2: drop an issue when its statement contains a text listed for its rule.
 
     The list is joined by rule id and tested in the row, so no pair of issue and text is
-    ever made; statement texts are fetched only for issues of rules that have a list.
+    ever made.  Only issues of rules with a list carry a key that meets a statement; the
+    others pass the same join unmatched, spread over the tasks, so the issues are made once.
     """
     listed = config.where(F.size("exceptions") > 0).select("rule_id", "exceptions")
-    marked = hot_key_join(issues, listed, ["rule_id"], "left", F.col("stmt_id"))
-    open_issues = marked.where(F.col("exceptions").isNotNull())
-    texts = stmts.select("stmt_id", F.col(sql_col).alias("_sql"))
-    kept = open_issues.join(texts, "stmt_id", "left").where(
-        ~F.exists("exceptions", lambda e: (e != "") & F.coalesce(F.contains(F.col("_sql"), e), F.lit(False)))
-    )
-    return marked.where(F.col("exceptions").isNull()).select(*issues.columns).unionByName(kept.select(*issues.columns))
+    has_list = F.col("exceptions").isNotNull()
+    marked = hot_key_join(issues, listed, "rule_id", "left").withColumn(
+        "_meets", F.struct(has_list.alias("listed"), F.col("stmt_id").alias("id")))
+    texts = stmts.select(F.struct(F.lit(True).alias("listed"), F.col("stmt_id").alias("id")).alias("_meets"), F.col(sql_col).alias("_sql"))
+    named = F.exists("exceptions", lambda e: (e != "") & F.coalesce(F.contains(F.col("_sql"), e), F.lit(False)))
+    return marked.join(texts, "_meets", "left").where(~has_list | ~named).select(*issues.columns)
 
 
 def override_severity(issues: DataFrame, config: DataFrame) -> DataFrame:
     """CFG-4."""
     given = config.where(F.col("severity").isNotNull()).select("rule_id", F.col("severity").alias("_given"))
-    joined = hot_key_join(issues, given, ["rule_id"], "left", F.col("stmt_id"))
+    joined = hot_key_join(issues, given, "rule_id", "left")
     return joined.withColumn("severity", F.coalesce("_given", "severity")).select(*issues.columns)
 
 

@@ -203,7 +203,7 @@ def campaigns(found: DataFrame, locations: DataFrame) -> DataFrame:
     places = locations.where(F.trim("path") != "").groupBy("stmt_key", "path").agg(F.min("line").alias("line"))
     member = _membership(found)
     per_file = (
-        hot_key_join(places, member, ["stmt_key"], "inner", F.col("path"))
+        hot_key_join(places, member, "stmt_key")
         .select("path", "line", *_ORDER, F.explode("ids").alias("campaign_id"))
         .groupBy("campaign_id", "path")
         .agg(F.min(F.struct(*_ORDER, "path", "line")).alias("first"))

@@ -209,12 +209,13 @@ def report_summary(found: DataFrame, total_files: DataFrame) -> DataFrame:
 def hotspots_by_file(found: DataFrame, locations: DataFrame) -> DataFrame:
     """AGG-11: issues times places per file, the eight highest; shares are of the highest.
 
-    Places are counted per (statement, file) in the map tasks first; a statement with very
-    many places is spread over tasks by file.  Only the eight rows meet in one window.
+    Places are counted per (statement, file) in the map tasks first; the join's partition of a
+    statement in very many files is split at run time (AQE skew join).  Only the eight rows
+    meet in one window.
     """
     risky = found.where(F.col("issue_count") > 0).select("stmt_key", "issue_count")
     places = locations.groupBy("stmt_key", "path").agg(F.count(F.lit(1)).alias("places"))
-    hit = hot_key_join(places, risky, ["stmt_key"], "inner", F.col("path"))
+    hit = hot_key_join(places, risky, "stmt_key")
     counts = hit.groupBy(safe(F.col("path"), "Unknown").alias("label")).agg(
         F.sum(F.col("places") * F.col("issue_count")).alias("cnt"))
     best = counts.orderBy(F.desc("cnt"), F.asc("label")).limit(fv.TOP_STATS)

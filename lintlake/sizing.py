@@ -5,37 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.sqltext import once
 
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes())
 
-
-def fits_broadcast(df: DataFrame) -> bool:
-    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    return planned_bytes(df) <= limit
-
-
-def hot_key_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, salt: Column, buckets: int = 32
-) -> DataFrame:
+def hot_key_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join a frame whose keys may be hot with one that has each key once.
 
-    A right side whose planned size is within the broadcast limit is joined as it is: by the
-    same check Spark sends it to the tasks and no key travels.  Beyond the limit the rows of
-    one key are spread over ``buckets`` shuffle keys by ``salt`` (a column of the left side
-    that differs between the rows of a key) and the right side is repeated once per bucket,
-    so a key with a third of all rows is shared by many tasks.  Every row is kept in both
-    forms.
+    Spark splits the large partition of a hot key at run time (AQE skew join) where both
+    sides are shuffled for the join.  A right side that comes straight from a grouping by the
+    key would be joined in the grouping's partitions instead, which cannot be split, so its
+    key passes an expression that hides them.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"a salted join cannot keep unmatched right rows: {how}")
-    if fits_broadcast(right):
-        return left.join(right, keys, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(buckets)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+        raise ValueError(f"the left side cannot be split in this join: {how}")
+    return left.join(right.withColumn(key, once(F.col(key))), key, how)
 
 
 def only_row(df: DataFrame, *columns: str) -> Column:

@@ -38,7 +38,7 @@ def statement_nodes(spark, sf, stmts: DataFrame | None = None) -> DataFrame:
     first = stmts.where(F.col("eligibility") == "SUPPORTED").select(
         F.col("first_occ_id").alias("occ"), F.col("stmt_id").alias("sid"))
     nodes = plan_nodes(spark, sf).withColumnRenamed("stmt_id", "occ")
-    hit = hot_key_join(nodes, first, ["occ"], "inner", F.col("node_no"))
+    hit = hot_key_join(nodes, first, "occ")
     return hit.withColumnRenamed("sid", "stmt_id").select(*pn.NODE_COLUMNS)
 
 

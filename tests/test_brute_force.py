@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import text as tx
 from lintlake.operators.extract import js_literals, sql_file
+from lintlake.operators import report
+from lintlake.operators.config import drop_excepted
 from lintlake.sizing import hot_key_join, only_row
 
 
@@ -120,20 +122,43 @@ def test_fingerprint(spark):
     assert run(spark, texts, tx.abstract_sql) == [plain(t) for t in texts]
 
 
-def test_salted_join_equals_plain_join(spark):
-    left = spark.range(2000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), "id")
-    right = spark.range(40).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") * 2).alias("v")).unionByName(
-        spark.range(1).select(F.lit("hot").alias("k"), F.lit(-1).cast("bigint").alias("v")))
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        plain = sorted(map(str, left.join(right, ["k"], how).collect()))
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        try:
-            salted = hot_key_join(left, right, ["k"], how, F.col("id"))
-            assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
-            assert sorted(map(str, salted.collect())) == plain
-        finally:
-            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+HOT_SESSION = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def test_hot_statement_is_split_at_run_time(spark):
+    """A statement found in a third of all files: counts stay whole and the join's large partition is split."""
+    places = spark.range(0, 60000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 500).cast("string"))).alias("stmt_key"),
+        F.concat(F.lit("src/f"), F.col("id") % 20000).alias("path"))
+    found = places.select("stmt_key").distinct().withColumn("issue_count", F.lit(2))
+    for k, v in HOT_SESSION.items():
+        spark.conf.set(k, v)
+    try:
+        hot = report.hotspots_by_file(found, places)
+        got = [(r.label, r.cnt) for r in hot.orderBy(F.desc("cnt"), "label").collect()]
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            joined = hot_key_join(places, found, "stmt_key", how)
+            assert len(joined.collect()) == (0 if how == "left_anti" else 60000)
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in HOT_SESSION:
+            spark.conf.unset(k)
+    files = sorted(f"src/f{i}" for i in range(20000))[:8]
+    assert got == [(f, 6) for f in files]
+
+
+def test_exceptions_touch_listed_rules_only(spark):
+    issues = spark.createDataFrame([(f"sql-{i}", r) for i in range(6) for r in ("a", "b")] + [("sql-none", "a"), ("sql-none", "b")], "stmt_id string, rule_id string")
+    stmts = spark.createDataFrame([(f"sql-{i}", "SELECT x FROM legacy_t" if i % 2 else "SELECT x FROM t") for i in range(6)], "stmt_id string, norm string")
+    rules = spark.createDataFrame([("a", ["legacy_", ""]), ("c", ["SELECT"])], "rule_id string, exceptions array<string>")
+    got = sorted(tuple(r) for r in drop_excepted(issues, stmts, rules).select("stmt_id", "rule_id").collect())
+    assert got == sorted([(f"sql-{i}", "a") for i in (0, 2, 4)] + [(f"sql-{i}", "b") for i in range(6)] + [("sql-none", "a"), ("sql-none", "b")])
 
 
 def test_only_row(spark):
