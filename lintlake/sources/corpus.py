@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
+from lintlake.session import materialized
+
+SUPPORTED = r"(?i)\.(" + "|".join(fv.SCAN_EXTENSIONS) + r")$"
 
 
 def _any_case(ext: str) -> str:
@@ -15,8 +22,8 @@ def _any_case(ext: str) -> str:
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """SRC-1: every source file below ``root``, one row per file, paths relative to the root.
 
-    Extensions are matched while listing, so other files are never opened.  (Spark's file
-    sources do not list names that begin with ``_`` or ``.``.)
+    Extensions are matched while listing, so other files are never opened.  Spark's file
+    sources do not list names that begin with ``_`` or ``.``; ``read_every_file`` does.
     """
     glob = "*.{" + ",".join(_any_case(e) for e in fv.SCAN_EXTENSIONS) + "}"
     raw = (
@@ -33,9 +40,62 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(relative.alias("path"), F.col("value").alias("content"))
 
 
+def _children(batches):
+    """The entries of each folder: path, whether it is a folder, and why a folder could not be listed."""
+    for batch in batches:
+        for folder in batch["path"]:
+            try:
+                store, inside = fs.FileSystem.from_uri(folder)
+                found = store.get_file_info(fs.FileSelector(inside))
+                names = (quote(f.base_name) if "://" in folder else f.base_name for f in found)
+                rows = [(f"{folder}/{name}", f.type == fs.FileType.Directory, None) for name, f in zip(names, found)]
+            except OSError as e:
+                rows = [(folder, False, str(e))]
+            for i in range(0, len(rows), 10_000):
+                yield pd.DataFrame(rows[i:i + 10_000], columns=["path", "is_folder", "error"])
+
+
+def _contents(batches):
+    for batch in batches:
+        for path, error in zip(batch["path"], batch["error"]):
+            content = None
+            if error is None:
+                try:
+                    store, inside = fs.FileSystem.from_uri(path)
+                    with store.open_input_stream(inside) as f:
+                        content = f.read().decode("utf-8", "replace")
+                except OSError as e:
+                    error = str(e)
+            yield pd.DataFrame({"path": [path], "content": [content], "error": [error]}, dtype=object)
+
+
+def read_every_file(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-1 with names that begin with ``_`` or ``.``: (path, content, error), paths relative to the root.
+
+    ``root`` is an absolute path or a URI that Arrow's file systems know.  Folders are listed
+    level by level, each level by all tasks; then the files are dealt out by path and read one
+    at a time.  A folder that cannot be listed or a file that cannot be read is a row with
+    ``error`` and no content.  Bytes that are no UTF-8 become replacement characters.
+    """
+    root = root.rstrip("/")
+    level = spark.createDataFrame([(root,)], "path string")
+    wanted = F.col("path").rlike(SUPPORTED) | F.col("error").isNotNull()
+    files = None
+    while True:
+        listed = materialized(level.mapInPandas(_children, "path string, is_folder boolean, error string"))
+        here = listed.where(~F.col("is_folder") & wanted).select("path", "error")
+        files = here if files is None else files.unionByName(here)
+        level = listed.where("is_folder").select("path").repartition("path")
+        if level.isEmpty():
+            break
+    read = files.repartition("path").mapInPandas(_contents, "path string, content string, error string")
+    below = F.substr("path", F.lit(len(root) + 2))
+    return read.withColumn("path", F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))) if "://" in root else below)
+
+
 def supported(files: DataFrame) -> DataFrame:
     """SRC-1 on a table: keep the five source extensions, any case."""
-    return files.where(F.col("path").rlike(r"(?i)\.(" + "|".join(fv.SCAN_EXTENSIONS) + r")$"))
+    return files.where(F.col("path").rlike(SUPPORTED))
 
 
 def drop_ignored(files: DataFrame) -> DataFrame:

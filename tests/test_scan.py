@@ -142,3 +142,29 @@ def test_annotation_with_deep_parentheses_and_quotes_in_blocks(spark):
     got = df.select(ex.mybatis_annotations(F.col("content")).alias("m"), ex.java_literals(F.col("content")).alias("j")).first()
     assert [(x.line, x.sql) for x in got.m] == [(2, "SELECT id FROM seat WHERE n = (2)"), (4, "DELETE FROM seat WHERE s = 'x'")]
     assert "SELECT \"row no\", price FROM seat WHERE hall = '${h}' AND a = \"\"" in [x.sql for x in got.j]
+
+
+def test_every_file_is_read(spark, tmp_path):
+    from lintlake.sources.corpus import read_every_file
+
+    texts = {
+        "db/a.sql": "SELECT 1", "_migrations/b.sql": "SELECT 2", "web/__tests__/deep/c.ts": "const a = 1;",
+        ".hidden/d.SQL": "SELECT 'é'", "db/_e.sql": "", "db/.f.xml": "<a/>", "sp ace/g+%20.java": "class G {}",
+    }
+    for name, text in {**texts, "db/readme.md": "no", "_x/y.txt": "no"}.items():
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+    (tmp_path / "db/bytes.sql").write_bytes(b"SELECT '\xff'")
+    (tmp_path / "empty").mkdir()
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        rows = read_every_file(spark, root).collect()
+        assert {r.path: r.content for r in rows} == texts | {"db/bytes.sql": "SELECT '\ufffd'"}
+        assert len(rows) == len(texts) + 1 and all(r.error is None for r in rows)
+
+
+def test_missing_root_is_a_row(spark, tmp_path):
+    from lintlake.sources.corpus import read_every_file
+
+    (row,) = read_every_file(spark, str(tmp_path / "nowhere")).collect()
+    assert row.content is None and row.error
