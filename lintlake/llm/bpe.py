@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -81,19 +82,22 @@ class Codec:
         top = max(self.bytes_of) + 1
         self.merge: dict[int, int] = {}  # pair of tokens -> rank
         #: the merge that makes each token: its two parts and its rank; single bytes have none, -2 marks what is never emitted
-        self.parts = np.full((3, top), -2, np.int32)
-        self.parts[:, list(single.values())] = -1
+        self.parts = [array("i", [-2]) * top for _ in range(3)]
+        for token in single.values():
+            for column in self.parts:
+                column[token] = -1
         self.chains: dict[int, list[tuple[int, int]]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (vocab[bytes(letters[c] for c in part)] for part in (pair if isinstance(pair, list) else pair.split(" ")))
             token = vocab[self.bytes_of[a] + self.bytes_of[b]]
             self.merge[a << 32 | b] = rank
             # a token that plain merging of its own bytes does not give can never be emitted
-            if self.parts[0, token] == -2 and self.parts[0, a] != -2 and self.parts[0, b] != -2 and self._border(a, b) == (a, b):
-                self.parts[:, token] = a, b, rank
+            first, second, ranks = self.parts
+            if first[token] == -2 and first[a] != -2 and first[b] != -2 and self._border(a, b) == (a, b):
+                first[token], second[token], ranks[token] = a, b, rank
         self.chains.clear()
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for token in np.flatnonzero(self.parts[0] != -2).tolist():
+        for token in [i for i, a in enumerate(self.parts[0]) if a != -2]:
             self.automaton.add_word(self.bytes_of[token].decode("latin-1"), token)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
@@ -110,11 +114,12 @@ class Codec:
         known = self.chains.get(token << 1 | side)
         if known is None:
             known, at, goes = [], token, _NEVER
+            below, ranks = self.parts[side], self.parts[2]
             while at >= 0:
                 known.append((at, goes))
-                at, goes = int(self.parts[side, at]), int(self.parts[2, at])
+                at, goes = below[at], ranks[at]
             known.reverse()
-            if len(self.chains) >= CACHE_PIECES // 4:
+            if len(self.chains) >= CACHE_PIECES:
                 self.chains.clear()
             self.chains[token << 1 | side] = known
         return known
