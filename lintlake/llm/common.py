@@ -215,12 +215,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, base: int = _B) -> np.ndarray:
     """Hash of the window of ``width`` words that starts at each word; the last ``width - 1`` are meaningless."""
     n = len(words)
-    out = np.full(n, np.uint64(seed), np.uint64)
+    out = np.zeros(n, np.uint64)
     for k in range(width):
-        out[:n - k] = out[:n - k] * np.uint64(_B) + words[k:]
+        out[:n - k] = out[:n - k] * np.uint64(base) + words[k:]
     return mix(out)
 
 

@@ -2,7 +2,8 @@
 
 First pass: merged sketches of all packs overestimate how often each window occurs
 (``packs.merged_counts``).  Second pass: only the windows estimated repeated are grouped
-exactly, by 96 bits of their hash, to find the smallest doc_id of each.  A window counted once
+exactly, by 96 bits, to find the smallest doc_id of each: the 64-bit hash and 32 bits of another
+one, made of other hashes of the words.  A window counted once
 is alone, so none is lost.  Third pass: the words covered by windows that a smaller doc_id
 holds are removed.
 
@@ -17,6 +18,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from lintlake.llm.packs import classes_of, counters, merged_counts, occupied, op
 
 QUERY_NAME = "op10_substring_dedup"
 WIDTH = 13
+_SECOND = 0x9E3779B97F4A7C15  # odd, and not the base of the first hash
 
 
 class _Windows:
@@ -43,8 +46,15 @@ class _Windows:
         self.width = width
 
     def second(self, chosen: np.ndarray) -> np.ndarray:
-        """32 more bits of the chosen windows."""
-        return (window_hashes(self.words, self.width, seed=0x5851F42D4C957F2D)[self.at[chosen]] >> np.uint64(32)).astype(np.uint32)
+        """32 bits more of the chosen windows, from hashes that share nothing with the first ones."""
+        at = self.at[chosen]
+        mark = np.zeros(len(self.starts) + 1, np.int64)
+        np.add.at(mark, at, 1)
+        np.add.at(mark, at + self.width, -1)
+        used = np.flatnonzero(np.cumsum(mark[:-1]))  # words in a chosen window
+        body, words = self.data.tobytes(), np.zeros(len(self.starts), np.uint64)
+        words[used] = [xxhash.xxh3_64_intdigest(body[a:b]) for a, b in zip(self.starts[used].tolist(), self.ends[used].tolist())]
+        return (window_hashes(words, self.width, base=_SECOND)[at] >> np.uint64(32)).astype(np.uint32)
 
     def suspects(self, classes: np.ndarray, bits: int):
         """The different windows estimated repeated: hash, second hash, smallest doc_id; and each suspect's number among them."""

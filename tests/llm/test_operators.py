@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lintlake.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, quality, registry, secrets, substring_dedup, topk
+from lintlake.llm.common import word_bounds, word_hashes
 from lintlake.llm.components import connected
 from lintlake.llm.signature_tree import linked_groups
 
@@ -149,6 +150,19 @@ def test_substring_dedup(hard):
     assert Counter(tuple(r) for r in substring_dedup.remove_repeats(df).collect()) == want
 
 
+def test_substring_dedup_tells_equal_hashes_apart(spark):
+    """Two words of equal first hash: a Thue-Morse word and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    data = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+    starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
+    h = word_hashes(data, starts, ends)
+    assert one != other and h[0] == h[1]
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
+
+
 def test_exact_dedup(hard):
     df, rows = hard
     key = lambda r: hashlib.sha256(lower(r[1]).encode()).hexdigest()
