@@ -6,8 +6,8 @@ Base kinds are found by pattern, leftmost and non-overlapping for each kind:
 * ``access``: ``AKIA`` and upper-case letters or digits, twenty or more characters,
 * ``hex``: runs of 24 or more lower-case hex digits.
 
-The kind ``guess`` is added for values after a credential word (``key: value``, ``key is value``)
-whose guess cost is high: the smallest sum over all ways to cut the value into common words
+The kind ``guess`` is added for values after a key that is or holds a credential word
+(``key: value``, ``key is value``, ``DB_KEY=value``) whose guess cost is high: the smallest sum over all ways to cut the value into common words
 (also in leet spelling), dates, repeats, keyboard walks and brute-force spans, found by dynamic
 programming.  The span is that of the value.
 
@@ -37,10 +37,13 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
+#: credential words, also within a key such as DB_PASSWORD or authToken; not those that only begin or end another word (author, compass)
+_WORD = r"(?:(?<!com)(?<!tres)(?<!sur)pass(?!age|eng|ing|ion|iv|port|over|im)|pwd|secret(?!ar|ion|ly)|token(?!i[sz])|(?:api|private|access)[\x20_.-]?key|credential|login|auth(?!ors?(?![a-z])|ored|oring|orship|oritative|orit(?:y|ies)|entic(?:ity|ally)?(?![a-z])))"
+#: a key read once as a whole, what sets it equal, and the value
 CONTEXT = re.compile(
-    r"""(?ai)\b(?:pass(?:word|wd|code|phrase)?|pwd|secret|token|api[ _-]?key|credentials?|login|auth)\b["']?\s*(?::=?|=>?|->|\bis\b)\s*["']?([^\s"'<>,;]{6,})""")
+    r"""(?ai)(?<![\w.-])(?=[\w.-]*?""" + _WORD + r""")(?:[\w.]|-(?!>))++(?:(?:(?<=api)|(?<=private)|(?<=access))\x20key(?:[\w.]|-(?!>))*+)?["']?\s*+(?::=?|=>?|->|\bis\b)\s*+["']?([^\s"'<>,;]{6,})""")
 #: finds every text that any pattern above can match in, in one pass
-MAYBE = r"(?i)pass|pwd|secret|token|api[ _-]?key|credential|login|auth|akia|[0-9a-f]{24}"
+MAYBE = r"(?i)pass|pwd|secret|token|(?:api|private|access)[ _.-]?key|credential|login|auth|akia|[0-9a-f]{24}"
 
 #: common words and passwords, frequent ones first; the place is the number of guesses
 WORDS = (
@@ -51,7 +54,8 @@ WORDS = (
     "sister brother friend school computer internet server database access security system network office company "
     "black white green blue orange silver gold star moon sun fire earth wind stone river ocean tiger eagle horse "
     "michael jordan daniel thomas robert jessica ashley andrew charlie matthew hunter ranger soccer hockey killer "
-    "pepper ginger cookie cheese coffee chocolate banana apple flower angel heaven magic power correct battery staple"
+    "pepper ginger cookie cheese coffee chocolate banana apple flower angel heaven magic power correct battery staple "
+    "required incorrect invalid expired missing wrong needed optional mandatory protected encrypted generated provided disabled enabled unknown"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LONGEST = max(map(len, WORDS))
@@ -127,7 +131,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?)]}")
-        if len(value) >= 6 and not value.isalpha() and guess_cost(value, LEAST_COST) >= LEAST_COST:
+        if len(value) >= 6 and guess_cost(value, LEAST_COST) >= LEAST_COST:
             out.append(("guess", m.start(1), m.start(1) + len(value)))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,6 +338,20 @@ def test_secrets(hard):
     assert secrets.find(df).count() == len(rows)
 
 
+def test_secrets_in_compound_keys_and_of_letters_only():
+    guesses = lambda t: [t[a:b] for kind, a, b in secrets.scan(t) if kind == "guess"]
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    for text, value in ((f"AWS_SECRET_ACCESS_KEY={aws}", aws), ('SECRET_KEY = "k#9$q!zR7pL"', "k#9$q!zR7pL"), ('DB_PASSWORD="xK9#mQ2$vLp"', "xK9#mQ2$vLp"),
+                        ("private key: k#9$q!zR7pL", "k#9$q!zR7pL"), ("authToken->k#9$q!zR7pL", "k#9$q!zR7pL"), ('{"db.passwords": "k#9$q!zR7pL"}', "k#9$q!zR7pL"),
+                        ("MYSQLPASS=k#9$q!zR7pL", "k#9$q!zR7pL"), ("--user-pass k --api key=k#9$q!zR7pL", "k#9$q!zR7pL"), ("password is QmZxTvKpLrWsGh", "QmZxTvKpLrWsGh")):
+        assert guesses(text) == [value], text
+        assert secrets.find_spans.func(pa.array([text]))[0].as_py()[-1]["kind"] == "guess"
+    for text in ("the author is k#9$q!zR7pL", "compass: k#9$q!zR7pL", "secretary: k#9$q!zR7pL", "DB_PASSWORD=password1", "password is welcome", "password is required."):
+        assert guesses(text) == [], text
+    long = "pass" * 50_000
+    assert guesses(f"{long}=k#9$q!zR7pL and {long}") == ["k#9$q!zR7pL"]
+
+
 def test_guess_cost():
     cost = secrets.guess_cost
     assert cost("password1") < 3 and cost("qwertyuiop") < 7 and cost("abcabcabcabc") < 6 and cost("19991231") < 6 and cost("aaaaaaaaaaaaaaaa") < 4
