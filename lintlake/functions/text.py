@@ -272,6 +272,62 @@ def select_blocks(m: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p.startswith("SELECT "))
 
 
+_CLAUSE = r"(?:WHERE|GROUP BY|HAVING|ORDER BY|LIMIT|UNION|INTERSECT|EXCEPT|MINUS)(?=[ (\x01]|$)"
+_PLAIN = rf"\(((?:[^() ]++| (?!{_CLAUSE}))*+)\)"
+_PIECES = rf"(?=[()])|(?<=[()])|(?= {_CLAUSE})|(?<=\x02)(?={_CLAUSE})"
+
+
+def where_conditions(m: Column) -> Column:
+    """The WHERE condition of each block of a masked text, without later clauses, at any depth.
+
+    A subquery stays in the condition around it, without its own later clauses.  Parentheses with
+    no clause in them are set aside first, as in ``_collapsed``; the pieces between the others are
+    read with a stack of two flags a level: in a condition outside of it, and now.
+    """
+    rounds = F.array_repeat(F.lit(0), F.regexp_count(m, F.lit(r"\(")).cast("int"))
+
+    def one_pass(s: Column) -> Column:
+        return let(
+            F.regexp_replace(s["text"], _PLAIN, "\x01$1\x02"),
+            lambda t: F.struct(t.alias("text"), (t.contains("(") & (t != s["text"])).alias("open")),
+        )
+
+    def state(stack: Column, kept: Column) -> Column:
+        return F.struct(stack.alias("stack"), kept.alias("kept"))
+
+    def read(s: Column, piece: Column) -> Column:
+        stack, kept = s["stack"], s["kept"]
+        now, base = F.right(stack, F.lit(1)), F.substring(stack, -2, 1)
+        below = F.when(F.length(stack) > 2, F.left(stack, F.length(stack) - 2)).otherwise(stack)
+
+        def turn(flag: Column) -> Column:
+            return F.concat(F.left(stack, F.length(stack) - 1), flag)
+
+        def more(on: Column) -> Column:
+            return F.when(on == "1", F.concat(kept, piece)).otherwise(kept)
+
+        later = piece.rlike("^ ?(?:GROUP BY|HAVING|ORDER BY|LIMIT)(?:[ \x01]|$)")
+        set_op = piece.rlike("^ ?(?:UNION|INTERSECT|EXCEPT|MINUS)(?:[ \x01]|$)")
+        begins = piece.startswith(" WHERE ") | (piece == " WHERE")
+        return (
+            F.when(piece == "(", state(F.concat(stack, now, now), more(now)))
+            .when(piece == ")", state(below, more(F.right(below, F.lit(1)))))
+            .when(begins & (F.concat(base, now) == "00"), state(turn(F.lit("1")), F.concat(kept, F.lit(CUT), F.substr(piece, F.lit(8)))))
+            .when(begins, state(turn(F.lit("1")), F.concat(kept, piece)))
+            .when(later, state(turn(F.lit("0")), kept))
+            .when(set_op, state(turn(base), more(base)))
+            .otherwise(state(stack, more(now)))
+        )
+
+    start = F.struct(F.translate(m, f"{CUT}\x01\x02", "   ").alias("text"), F.lit(True).alias("open"))
+    aside = F.aggregate(rounds, start, lambda s, _: F.when(s["open"], one_pass(s)).otherwise(s))["text"]
+    kept = F.aggregate(F.split(aside, _PIECES), state(F.lit("00"), F.lit("")), read)["kept"]
+    found = F.filter(F.split(F.translate(kept, "\x01\x02", "()"), CUT), lambda c: c != "")
+    first = F.regexp_extract(m, "^[^()]*? WHERE (.*)$", 1)  # all there is where no other clause and no parenthesis comes before
+    single = (first != "") & (F.regexp_count(m, F.lit(rf"(?:^|[ )]){_CLAUSE}")) == 1)
+    return F.when(single, F.array(first)).when(m.contains(" WHERE "), found).otherwise(F.array().cast("array<string>"))
+
+
 # --- labels -------------------------------------------------------------------------------------------
 
 

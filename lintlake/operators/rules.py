@@ -11,7 +11,8 @@ Texts a rule may use:
 ``t_original``  text as found
 ``t_upper``     upper case, one space
 ``t_masked``    ``t_upper`` with literals emptied
-``t_where``     the first WHERE condition of ``t_masked``, without later clauses, '' when none
+``t_wheres``    array of the WHERE conditions of ``t_masked``, one a block, without later clauses
+``t_where``     these conditions in one text, '' when none
 ``t_blocks``    array of SELECT blocks
 ==============  ==============================================================
 
@@ -90,18 +91,16 @@ def any_block(test: str) -> str:
 
 IS_SELECT = "size(t_blocks) > 0"
 
-# No term after an OR starts with a column compared by "=" before that OR.
+# The conditions in which no term after an OR starts with a column compared by "=" before that OR.
 _NAMES = r"regexp_extract_all({}, '\\b(\\w+)\\s*=', 1)"
 _LEAD = r"regexp_extract({}, '^\\s*(\\w+)\\s*=', 1)"
 _OTHER_COLUMNS = (
-    "contains(t_where, ' OR ') AND NOT aggregate(slice(split(t_where, ' OR '), 2, size(split(t_where, ' OR '))), "
-    f"named_struct('seen', {_NAMES.format("split(t_where, ' OR ')[0]")}, 'again', false), "
+    "filter(t_wheres, w -> contains(w, ' OR ') AND NOT aggregate(slice(split(w, ' OR '), 2, size(split(w, ' OR '))), "
+    f"named_struct('seen', {_NAMES.format("split(w, ' OR ')[0]")}, 'again', false), "
     f"(s, t) -> named_struct('seen', array_union(s.seen, {_NAMES.format('t')}), "
     f"'again', s.again OR ({_LEAD.format('t')} <> '' AND array_contains(s.seen, {_LEAD.format('t')}))), "
-    "s -> s.again)"
+    "s -> s.again))"
 )
-#: the clauses behind a WHERE condition; one within a subquery is followed by an open parenthesis' end
-_AFTER_WHERE = r" (?:GROUP BY|HAVING|ORDER BY|LIMIT) (?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+$"
 
 _FUNCTIONS = quote(r"\b(" + "|".join(fv.NON_SARGABLE_FUNCTIONS) + r")\s*\(")
 
@@ -194,8 +193,8 @@ def _finders() -> dict[str, str]:
         "orderby-without-limit": plain("orderby-without-limit", any_block(_OPEN_ORDER)),
         "implicit-join": plain("implicit-join", any_block(_COMMA_JOIN)),
         "multi-column-or": counted(
-            "multi-column-or", f"{IS_SELECT} AND {_OTHER_COLUMNS}", " (检测到 ",
-            "size(split(t_where, ' OR ')) - 1", " 个 OR 条件)"),
+            "multi-column-or", f"{IS_SELECT} AND contains(t_where, ' OR ') AND size({_OTHER_COLUMNS}) > 0", " (检测到 ",
+            f"aggregate({_OTHER_COLUMNS}, 0, (n, w) -> n + size(split(w, ' OR ')) - 1)", " 个 OR 条件)"),
         "insert-without-columns": insert_columns,
         "not-in": plain("not-in", f"t_masked RLIKE {not_in}"),
         "having-without-where": plain(
@@ -414,9 +413,10 @@ def lint(
     texts = ["t_sql", "t_original", "t_upper", "t_masked"]
     work = work.select(
         *base, *cfg, *texts,
-        F.regexp_replace(F.regexp_extract("t_masked", r" WHERE (.*)$", 1), _AFTER_WHERE, "").alias("t_where"),
+        tx.where_conditions(F.col("t_masked")).alias("t_wheres"),
         tx.select_blocks(F.col("t_masked")).alias("t_blocks"),
     )
+    work = work.withColumn("t_where", F.array_join("t_wheres", " ; "))
     user = {}
     for r in active:
         if r.predicate is not None:

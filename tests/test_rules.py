@@ -151,3 +151,21 @@ def test_only_the_where_condition_counts(stmts):
     got = found(stmts, texts)
     assert ["multi-column-or" in g for g in got] == [False, False, True, False]
     assert ["function-on-indexed-column" in g for g in got] == [False, False, False, True]
+
+
+def test_where_conditions_of_every_block(stmts):
+    """Later clauses end the condition of their own block only, however deep; each block's OR is judged by itself."""
+    texts = ["SELECT a FROM t WHERE b = 1 GROUP BY a UNION ALL SELECT a FROM u WHERE UPPER(c) = 'x' OR d = 2",
+             "SELECT a FROM t WHERE b = 1 ORDER BY UPPER(F(G(H(A))))",
+             "SELECT a FROM t WHERE b = 1 HAVING MAX((((((a)))))) = 1 OR c = 2",
+             "SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE d = 1 ORDER BY UPPER(F(G(H(I(c))))) LIMIT 1) AND e = 1",
+             "SELECT a FROM (SELECT b FROM t WHERE F(G(H(UPPER(c)))) = 'x' GROUP BY b) x WHERE a = 1 ORDER BY a",
+             "SELECT a FROM t WHERE b = 1 OR c = 2 UNION SELECT a FROM u WHERE b = 1 OR c = 2",
+             "SELECT a FROM t WHERE b = 1 OR b = 2 GROUP BY a UNION SELECT a FROM u WHERE b = 3 OR b = 4",
+             "(SELECT a FROM t WHERE b = 1 LIMIT 1)UNION(SELECT LOWER(a) FROM u WHERE c = 1)",
+             "SELECT a FROM t WHERE (b, c) IN (" + ", ".join(f"({i}, {i})" for i in range(5000)) + ") OR TRIM(d) = 'x'"]
+    got = found(stmts, texts, profile="rules")
+    assert ["function-on-indexed-column" in g for g in got] == [True, False, False, False, True, False, False, False, True]
+    assert ["multi-column-or" in g for g in got] == [True, False, False, False, False, True, False, False, True]
+    counts = ru.evaluate(stmts(texts), ru.RuleSet.only("multi-column-or"), "rules").collect()
+    assert {r.stmt_id: int("".join(filter(str.isdigit, r.message))) for r in counts} == {"s0": 1, "s5": 2, "s8": 1}
