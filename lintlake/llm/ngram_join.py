@@ -18,6 +18,8 @@ repeat a doc_id are judged each by its own text.  Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -68,19 +70,19 @@ def _flat(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, class_id, pack, ord, tokens, prefix); tokens and prefix only where a link is possible."""
+    """(doc_id, n, class_id, pack, ord, tokens, prefix, digest); tokens, prefix and the text's digest only where a link is possible."""
     packs = write_packs(docs)
     total = packs.agg(F.sum(F.col("n_words") + F.col("n_docs"))).first()[0] or 0
     bits, _ = counters(total)
     counts = merged_counts(packs, lambda row: _flat(shingle_sets(row, width)), total)
 
     def keep(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("n", "class_id", "ord", "tokens", "prefix")}
+        out = {k: [] for k in ("n", "class_id", "ord", "tokens", "prefix", "digest")}
         ids, no_id, pack = np.zeros(0, np.int64), np.zeros(0, bool), 0
         if left.num_rows:
             row = {n: left.column(n)[0].as_py() for n in left.column_names}
             pack = row["pack"]
-            ids, no_id, _, _ = opened(row)
+            ids, no_id, data, offs = opened(row)
             sets = shingle_sets(row, width)
             flat = _flat(sets)
             classes = classes_of(right)[occupied(flat, bits)[1]] if len(flat) else np.zeros(0, np.uint8)
@@ -95,13 +97,15 @@ def _sets_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 out["class_id"].append(xxhash.xxh3_64_intdigest(blob(s)) - (1 << 63) if len(s) else None)
                 out["tokens"].append(blob(s) if open_ else None)
                 out["prefix"].append(blob(s[np.argsort(mine, kind="stable")[:len(s) - need + 1]]) if open_ else None)
+                out["digest"].append(hashlib.sha256(data[offs[i]:offs[i + 1]]).digest() if open_ else None)
         return pa.table({
             "doc_id": pa.array(ids, mask=no_id), "n": pa.array(out["n"], pa.int64()), "class_id": pa.array(out["class_id"], pa.int64()),
             "pack": pa.array([pack] * len(ids), pa.int64()), "ord": pa.array(out["ord"], pa.int64()),
-            "tokens": pa.array(out["tokens"], pa.binary()), "prefix": pa.array(out["prefix"], pa.binary())})
+            "tokens": pa.array(out["tokens"], pa.binary()), "prefix": pa.array(out["prefix"], pa.binary()),
+            "digest": pa.array(out["digest"], pa.binary())})
 
     return written_by(packs.groupBy("pack").cogroup(counts.groupBy("pack")).applyInArrow(
-        keep, "doc_id long, n long, class_id long, pack long, ord long, tokens binary, prefix binary"), "sets", "pack")
+        keep, "doc_id long, n long, class_id long, pack long, ord long, tokens binary, prefix binary, digest binary"), "sets", "pack")
 
 
 def _deal(open_: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -188,6 +192,11 @@ def _cross_rows(t: pa.Table, percent: int) -> pa.Table:
 
 def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for every row of ``docs`` (doc_id, text)."""
+    return _groups(docs, width, percent).drop("root", "digest")
+
+
+def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``similar_groups`` with the group's root and the text's digest; both are null where no link is possible."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = _sets_table(docs, width, percent)
@@ -230,18 +239,27 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     rooted = written(classes.join(roots, "class_id", "left").select("class_id", "doc_id", F.coalesce("root", "class_id").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component")), "least")
-    component = written(rooted.join(least, "root").select("class_id", "component"), "component")
-    alone = sets.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("tokens").isNull().alias("alone"))
-    done = alone.where("alone").select("doc_id", "n_shingles", "class_id", F.col("doc_id").alias("component_id"))
-    rest = alone.where("NOT alone").join(component, "class_id").select("doc_id", "n_shingles", "class_id", F.col("component").alias("component_id"))
+    component = written(rooted.join(least, "root").select("class_id", "component", "root"), "component")
+    alone = sets.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("tokens").isNull().alias("alone"), "digest")
+    done = alone.where("alone").select("doc_id", "n_shingles", "class_id", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"), "digest")
+    rest = alone.where("NOT alone").join(component, "class_id").select("doc_id", "n_shingles", "class_id", F.col("component").alias("component_id"), "root", "digest")
     return done.unionByName(rest)
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those that have a smaller doc_id in their group; rows with a null doc_id stay."""
-    groups = similar_groups(docs, width, percent)
-    drop = groups.where("component_id < doc_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti")
+    """One row of ``docs`` for each group: that of the smallest doc_id, then of the smallest text digest; rows with a null doc_id stay."""
+    linked = written(_groups(docs, width, percent).where("root IS NOT NULL").select("root", "component_id", "doc_id", "digest"), "linked")
+    texts = written(linked.where("component_id = doc_id").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")), "texts")
+    first = texts.groupBy("root").agg(F.min("digest").alias("first"))
+    key = [F.col("doc_id").alias("__near_id"), F.col("digest").alias("__near_digest")]
+    drop = linked.where("component_id < doc_id").select(*key).unionByName(texts.join(first, "root").where("digest > first").select(*key))
+    names = ["__near_id", "__near_digest"]
+    keyed = docs.withColumns({"__near_id": F.col("doc_id").cast("long"), "__near_digest": F.unhex(F.sha2(F.col("text").cast("string").cast("binary"), 256))})
+    kept = keyed.join(drop, names, "left_anti")
+    copies = texts.where("n > 1").select(*key)
+    if not copies.isEmpty():  # the same text again under the same doc_id
+        kept = kept.join(copies, names, "left_anti").unionByName(kept.join(copies, names, "left_semi").dropDuplicates(names))
+    return kept.drop(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,18 @@ def test_ngram_join_large_region(spark, monkeypatch):
     assert got == {i: 0 if i < len(chain) else len(chain) for i in range(len(chain) + len(island))}
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    def text(name, last="end"):
+        return " ".join(f"{name}{i}" for i in range(60)) + f" {last}"
+
+    rows = [(1, text("a")), (2, text("a", "other")), (2, text("c")), (5, text("b")), (5, text("b", "other")), (5, text("d")), (6, text("d", "other")),
+            (7, text("e")), (7, text("e")), (None, text("a")), (8, None), (8, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, digest int").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect())
+    b = min((text("b"), text("b", "other")), key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert got == Counter([rows[0], rows[2], (5, b), rows[5], rows[7], *rows[9:]])
+
+
 def test_signature_tree_random():
     r = np.random.default_rng(3)
     for case in range(30):
