@@ -215,14 +215,18 @@ def campaigns(found: DataFrame, locations: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("rn", "path"))).alias("fs"))
         .select("campaign_id", F.col("fs.path").alias("files"))
     )
+    all_files = per_file.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("all_files"))
     names = ["campaign_id", "priority", "theme", "title", "summary", "evidence_level", "rules", "recommendations",
              "checklist"]
     dim = constant_frame(spark, fv.CAMPAIGNS, names)
     none = F.array().cast("array<string>")
     return (
         dim.join(counts, "campaign_id").join(examples, "campaign_id").join(files, "campaign_id", "left")
+        .join(all_files, "campaign_id", "left")
         .withColumn("files", F.coalesce("files", none))
         .withColumn("file_count", F.size("files"))
+        .withColumn("total_files", F.coalesce("all_files", F.lit(0).cast("long")))
+        .drop("all_files")
     )
 
 

@@ -100,6 +100,14 @@ def test_campaign_files_are_the_first_six(spark):
     assert c.files == [f"p/{i:02d}.sql" for i in range(6)] and c.file_count == 6 and c.sql_count == 1
 
 
+def test_campaign_counts_all_files(spark):
+    found, loc = found_of(spark, [(f"p/{i % 20:02d}.sql", i, "SELECT a FROM t") for i in range(30)])
+    c = rem.campaigns(found, loc).first()
+    assert (c.file_count, c.total_files) == (6, 20)
+    c = rem.campaigns(found, loc.where("false")).first()
+    assert (c.file_count, c.total_files) == (0, 0)
+
+
 def test_json_sections(spark):
     found, loc = found_of(spark, [("a", 1, "DELETE FROM t")])
     out = rp.report_json({"findings": found.select("stmt_id", "issues"), "hotspots.byFile": rp.hotspots_by_file(found, loc),
