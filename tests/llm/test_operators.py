@@ -410,6 +410,71 @@ def test_pipeline(spark):
     assert max(Counter(r.doc_id for r in got).values()) <= 3
 
 
+def test_pipeline_stages_against_plain_python(spark, hard):
+    """What each stage keeps of its input: nothing more goes than must."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).limit(400).unionByName(hard[0].select(*corpus_pipeline.COLUMNS))
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, docs: spark.createDataFrame(stages[name](spark, docs, SF).collect(), given.schema)
+
+    given = spark.createDataFrame(given.collect(), given.schema)
+    exact = run("exact_dedup", given)
+    last = {}
+    for r in given.collect():
+        k = lower(r.text)
+        last[k] = max(last.get(k, -1), -1 if r.doc_id is None else r.doc_id)
+    assert Counter((lower(r.text), -1 if r.doc_id is None else r.doc_id) for r in exact.collect()) == Counter(last.items())
+
+    rows = exact.collect()
+    sets = [shingles(r.text) if r.doc_id is not None else set() for r in rows]
+    holders, group = {}, list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in holders.get(x, ()))
+        for j, c in shared.items():
+            if 100 * c >= 80 * (len(s) + len(sets[j]) - c):
+                group[top(i)] = top(j)
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    best = {}
+    for i, r in enumerate(rows):
+        place = (r.doc_id is not None and r.doc_id, hashlib.sha256((r.text or "").encode()).digest(), i)
+        best[top(i)] = min(best.get(top(i), place), place)
+    near = run("near_dedup", exact)
+    assert Counter((r.doc_id, r.text) for r in near.collect()) == Counter((rows[p[2]].doc_id, rows[p[2]].text) for p in best.values())
+    assert near.count() < len(rows)
+
+    rows = near.collect()
+    sizes, weight, largest = Counter(), {}, Counter()
+    for r in rows:
+        sizes[r.source] += len(words(r.text))
+        largest[r.source] = max(largest[r.source], len(words(r.text)))
+    for i, source in enumerate(sorted(sizes, key=lambda x: (x is None, x))):
+        weight[source] = 1 + i % 3
+    target, total = dict.fromkeys(sizes, 0.0), sum(sizes.values())
+    for _ in range(100):
+        open_ = [x for x in sizes if target[x] < 3 * sizes[x] - 1e-9]
+        rest, w = total - sum(target.values()), sum(weight[x] for x in open_)
+        if rest < 1e-6 or not open_:
+            break
+        for x in open_:
+            target[x] = min(3 * sizes[x], target[x] + rest * weight[x] / w)
+    taken, times = Counter(), Counter()
+    for r in run("mixture", near).collect():
+        taken[r.source] += len(words(r.text))
+        times[r.doc_id, r.text, r.source] += 1
+    of_rows = Counter((r.doc_id, r.text, r.source) for r in rows)
+    assert set(times) <= set(of_rows)
+    for k, n in of_rows.items():
+        share = target[k[2]] / max(sizes[k[2]], 1)
+        assert n * math.floor(share + 1e-9) <= times[k] <= n * math.ceil(share - 1e-9), k
+    assert all(abs(taken[x] - target[x]) <= largest[x] for x in sizes)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
