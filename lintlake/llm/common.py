@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_folder: tempfile.TemporaryDirectory | None = None
@@ -224,5 +224,23 @@ def window_hashes(words: np.ndarray, width: int, base: int = _B) -> np.ndarray:
     return mix(out)
 
 
+def numbered(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``pos``, the place of each among those of its ``key`` from 0 on, and ``total``, their number.
+
+    One range shuffle sorts all keys at once; a row's place is that in its range and the number of
+    rows of its key in earlier ranges, so a key with a third of all rows is dealt out as well.
+    ``order`` must tell rows apart, or rows that it leaves equal be interchangeable.  Keys are not null.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*key, *order]
+    placed = written(rows.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumns(
+        {"range": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "ordered")
+    parts = written(placed.groupBy(*key, "range").agg(F.min("at").alias("first"), F.count("*").alias("n_range")), "ranges")
+    whole = Window.partitionBy(*key)
+    before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*key, "range", "first", F.coalesce(F.sum("n_range").over(before), F.lit(0)).alias("before"), F.sum("n_range").over(whole).alias("total"))
+    return placed.join(starts, [*key, "range"]).select(*rows.columns, (F.col("before") + F.col("at") - F.col("first")).alias("pos"), "total")
+
+
 def pow2_at_least(n: int) -> int:
     return 1 << max(0, int(n - 1).bit_length())
