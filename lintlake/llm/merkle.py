@@ -63,14 +63,15 @@ def _paired(level: Column) -> Column:
 
 
 def _subtrees(nodes: DataFrame, payload: list[str]) -> DataFrame:
-    """One row per ``2 ** STRIDE`` nodes: tree, run, members, leaves, levels (digests from the members' up to the top's) and total of the level above."""
+    """One row per ``2 ** STRIDE`` nodes: tree, run, members, leaves, levels (digests above the members, the top's last) and total of the level above."""
     runs = nodes.groupBy("tree", F.shiftright("pos", STRIDE).alias("run")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "hash", "leaves", *payload))).alias("members"), F.first("total").alias("below"), F.sum("leaves").alias("leaves"))
     height = F.least(F.lit(STRIDE), F.ceil(F.log2("below")).cast("int"))
     levels = F.aggregate(
-        F.array_repeat(F.lit(0), height), F.array(F.transform("members", lambda m: m["hash"])),
+        F.array_repeat(F.lit(0), height), F.array(F.transform("members", lambda m: F.lower(F.hex(m["hash"])))),
         lambda done, _: F.concat(done, F.array(_paired(F.element_at(done, -1)))))
-    return runs.withColumns({"levels": levels, "total": F.ceil(F.col("below") / F.pow(F.lit(2.0), height)).cast("long")})
+    above = F.transform(F.slice(levels, F.lit(2), height), lambda level: F.transform(level, F.unhex))
+    return runs.withColumns({"levels": above, "total": F.ceil(F.col("below") / F.pow(F.lit(2.0), height)).cast("long")})
 
 
 def _copies(leaves: Column) -> Column:
@@ -82,8 +83,9 @@ def _linked(runs: DataFrame, payload: list[str], parent: Column) -> DataFrame:
     inside = F.pmod(F.col("m.pos"), F.lit(1 << STRIDE)).cast("int")
     siblings = F.transform(
         F.slice("levels", F.lit(1), F.size("levels") - 1),
-        lambda level, k: F.coalesce(F.unhex(F.get(level, F.call_function("shiftright", inside, k).bitwiseXOR(F.lit(1)))), F.lit(b"")))
-    rows = runs.select("tree", parent.alias("parent"), _copies(F.col("leaves")).alias("copies"), "levels", F.explode("members").alias("m"))
+        lambda level, k: F.coalesce(F.get(level, F.call_function("shiftright", inside, k).bitwiseXOR(F.lit(1))), F.lit(b"")))
+    levels = F.concat(F.array(F.transform("members", lambda m: m["hash"])), "levels").alias("levels")
+    rows = runs.select("tree", parent.alias("parent"), _copies(F.col("leaves")).alias("copies"), levels, F.explode("members").alias("m"))
     own = [F.col(f"m.{c}").alias(c) for c in ("pos", "hash", "leaves", *payload)]
     return rows.select("tree", *own, siblings.alias("siblings"), "parent", "copies")
 
@@ -98,7 +100,7 @@ def _grown(nodes: DataFrame, payload: list[str], root: Column) -> tuple[DataFram
         runs = written(_subtrees(nodes, carried), "merkle-subtrees")
         parent = F.when(F.col("total") == 1, root).otherwise(F.concat_ws("/", "tree", F.lit(str(stride + 1)), F.col("run").cast("string")))
         linked.append(_linked(runs, carried, parent).withColumn("name", F.concat_ws("/", "tree", F.lit(str(stride)), F.col("pos").cast("string"))))
-        tops = runs.select("tree", F.col("run").alias("pos"), "total", "leaves", F.get(F.element_at("levels", -1), F.lit(0)).alias("hash"))
+        tops = runs.select("tree", F.col("run").alias("pos"), "total", "leaves", F.coalesce(F.get(F.get("levels", F.size("levels") - 1), F.lit(0)), F.get("members", F.lit(0))["hash"]).alias("hash"))
         ends.append(tops.where("total = 1"))
         nodes = tops.where("total > 1")
     return linked[0], linked[1:], functools.reduce(DataFrame.unionByName, ends)
@@ -112,19 +114,19 @@ def build(rows: DataFrame, values: list[Column], by: Column, order: Column, carr
     carried = carried or {}
     # texts are read once, and ``row`` is fixed from here on
     leaves = written(rows.select(
-        F.coalesce(F.concat(F.lit("="), by.cast("string")), F.lit("-")).alias("tree"), order.alias("ord"), leaf_digest(values).alias("hash"),
+        F.coalesce(F.concat(F.lit("="), by.cast("string")), F.lit("-")).alias("tree"), order.alias("ord"), F.unhex(leaf_digest(values)).alias("hash"),
         F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in carried.items()]), "merkle-leaves")
     nodes = numbered(leaves, ["tree"], ["ord", "hash", "row"]).drop("row", "ord").withColumn("leaves", F.lit(1).cast("long"))
     lowest, above, subroots = _grown(nodes, list(carried), F.concat_ws("/", "tree", F.lit("root")))
     subroots = written(subroots.select(F.lit("all").alias("tree"), F.col("tree").alias("value"), "hash", "leaves"), "merkle-subroots")
     tops, higher, ends = _grown(numbered(subroots, ["tree"], ["value"]), ["value"], F.lit(None).cast("string"))
-    tops = tops.withColumns({"name": F.concat_ws("/", "value", F.lit("root")), "subroot": F.unhex("hash")})
+    tops = tops.withColumns({"name": F.concat_ws("/", "value", F.lit("root")), "subroot": F.col("hash")})
     inner = [f.withColumn("subroot", F.lit(None).cast("binary")) for f in [*above, *higher]]
     columns = ["name", "parent", "copies", "pos", "siblings", "subroot"]
     copies = F.explode(F.sequence(F.lit(0), _copies(F.col("leaves")) - 1)).alias("copy")
     upper = functools.reduce(DataFrame.unionByName, [f.select(*columns, copies) for f in [tops, *inner]])
     end = ends.first()
-    return Manifest(lowest.drop("name", "leaves"), written(upper, "merkle-nodes"), subroots, end and end["hash"])
+    return Manifest(lowest.drop("name", "leaves"), written(upper, "merkle-nodes"), subroots, end and bytes(end["hash"]).hex())
 
 
 _FOLD = """aggregate(transform({n}.siblings, (s, k) -> struct(s, shiftright({n}.pos, k) & 1 AS right)), {start},
@@ -134,10 +136,10 @@ _PROOF = "aggregate({n}.siblings, {start}, (p, s) -> concat(p, s))"
 
 def _climb_sql(carried: list[str]) -> str:
     own = ", ".join(carried)
-    start, on = {"n": "n", "start": "n.now"}, {"n": "n", "start": "lower(hex(c.folded))"}
+    start, on = {"n": "n", "start": "lower(hex(n.now))"}, {"n": "n", "start": "lower(hex(c.folded))"}
     return f"""
 WITH RECURSIVE climb AS (
-  SELECT {own}{', ' if own else ''}unhex(n.hash) AS leaf, n.pos AS salt, CAST(NULL AS BINARY) AS subroot, n.parent, n.copies,
+  SELECT {own}{', ' if own else ''}n.hash AS leaf, n.pos AS salt, CAST(NULL AS BINARY) AS subroot, n.parent, n.copies,
     unhex({_FOLD.format(**start)}) AS folded, {_PROOF.format(n="n", start="X''")} AS proof
   FROM {{leaves}} n
   UNION ALL
@@ -148,36 +150,38 @@ WITH RECURSIVE climb AS (
 SELECT {own}{', ' if own else ''}leaf, subroot, proof, folded FROM climb WHERE parent IS NULL"""
 
 
-def climb(manifest: Manifest, now: str, carried: list[str]) -> DataFrame:
+def climb(manifest: Manifest, now: str, carried: list[str], result: list[Column] | None = None) -> DataFrame:
     """(carried columns, leaf, subroot, proof, folded), a written table with one row per leaf.
 
     ``proof`` holds the siblings' digests in order, 32 bytes each; ``folded`` is the root that the digest in the
-    column ``now`` leads to.  Digests are binary.
+    column ``now`` leads to.  Digests are binary.  ``result`` columns, where given, are written in their place.
     """
     spark = manifest.nodes.sparkSession
     setting = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "-1")  # every leaf climbs, however many there are
     try:
-        return written(spark.sql(_climb_sql(carried), leaves=manifest.leaves.withColumnRenamed(now, "now"), nodes=manifest.nodes), "merkle-proofs")
+        out = spark.sql(_climb_sql(carried), leaves=manifest.leaves.withColumnRenamed(now, "now"), nodes=manifest.nodes)
+        return written(out.select(*result) if result else out, "merkle-proofs")
     finally:
         spark.conf.set(setting, before)
 
 
+def _hex(digest: str) -> Column:
+    return F.lower(F.hex(digest))
+
+
 def verified(docs: DataFrame) -> DataFrame:
     """Manifest of ``docs`` by language, and each leaf's proof folded from its tampered digest."""
     values = {c: F.col(c) for c in COLUMNS}
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     tampered = values | {"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
-    manifest = build(docs, list(values.values()), F.col("lang"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "now": leaf_digest(list(tampered.values()))})
+    manifest = build(docs, list(values.values()), F.col("lang"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "now": F.unhex(leaf_digest(list(tampered.values())))})
+    proofs = climb(manifest, "now", ["doc_id"], [F.col("doc_id"), F.col("leaf"), F.col("subroot"), F.sha2(_hex("proof"), 256).alias("proof_sha256"), F.col("folded")])
     root = F.lit(manifest.root).cast("string")
-    return climb(manifest, "now", ["doc_id"]).select(
-        "doc_id", _hex("leaf").alias("leaf"), _hex("subroot").alias("subroot"), root.alias("root"),
-        F.sha2(_hex("proof"), 256).alias("proof_sha256"), _hex("folded").alias("folded_root"), (_hex("folded") == root).alias("verified"))
-
-
-def _hex(digest: str) -> Column:
-    return F.lower(F.hex(digest))
+    return proofs.select(
+        "doc_id", _hex("leaf").alias("leaf"), _hex("subroot").alias("subroot"), root.alias("root"), "proof_sha256",
+        _hex("folded").alias("folded_root"), (_hex("folded") == root).alias("verified"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
