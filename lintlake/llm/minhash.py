@@ -40,7 +40,7 @@ WIDTH = 5
 PERCENT = 85
 ROWS = 6
 BANDS = 32
-CHUNK_SETS = 256
+CHUNK_SETS = 64
 CHUNK_TOKENS = 1 << 20
 BUCKET_KEYS = 1 << 20
 _STEP = 1 << 18
