@@ -7,14 +7,15 @@ appended.  Whatever was indexed first stays, so data goes in from the largest id
 
 Texts are equal when they are the same after lower-casing A-Z only; null counts as empty.  Rows
 with a null doc_id rank below all others: they stay only where no row with an id has their text.
-Rows that repeat both doc_id and text are one document and are flagged alike.  Other columns
-are not read.
+Rows that repeat both doc_id and text are one document and are flagged alike.  Very long texts are
+hashed whole; an empty table has no rows and adds none to the index.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,10 @@ from lintlake.llm.common import new_path, table, written
 
 QUERY_NAME = "op4_exact_dedup"
 BATCHES = 2
+#: Files of a bucket beyond which the index is written anew
+MOST_FILES = 8
+RULE = "sha256 of UTF-8 with A-Z lower-cased"
+_ABOUT = "buckets int, rule string, generation int"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -35,18 +40,60 @@ def digest_of(text: pa.Array) -> pa.Array:
 
 
 class DigestIndex:
-    """Digests seen so far: (digest, keep_id), bucketed and sorted by digest."""
+    """Digests seen so far: (digest, keep_id), bucketed and sorted by digest.
+
+    The index keeps its number of buckets and the rule of its digests beside its files, and opening it
+    again takes them from there, whatever the session's settings.  Every ingest adds a file to each bucket;
+    beyond ``MOST_FILES`` the buckets are written anew, one sorted file each, as the next generation.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or new_path(spark, "digests")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"llm_digests_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
-                  f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        stored = self._stored()
+        if stored and (stored["rule"] != RULE or buckets not in (None, stored["buckets"])):
+            raise ValueError(f"the index at {self.path} has {stored['buckets']} buckets of {stored['rule']}, not {buckets} of {RULE}")
+        self.buckets = stored["buckets"] if stored else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.generation = stored["generation"] if stored else 0
+        if not stored:
+            self._store()
+
+    def _hadoop(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _stored(self) -> dict | None:
+        """The newest complete description of the index, if there is one."""
+        fs, p = self._hadoop(f"{self.path}/about")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        done = [int(n) for n in names if any(f.getPath().getName().startswith("part-") for f in fs.listStatus(self._hadoop(f"{self.path}/about/{n}")[1]))]
+        return self.spark.read.schema(_ABOUT).json(f"{self.path}/about/{max(done)}").first().asDict() if done else None
+
+    def _store(self) -> None:
+        about = self.spark.range(1).select(F.lit(self.buckets).alias("buckets"), F.lit(RULE).alias("rule"), F.lit(self.generation).alias("generation"))
+        about.coalesce(1).write.mode("overwrite").json(f"{self.path}/about/{self.generation}")
+
+    def _files(self, generation: int) -> str:
+        return f"{self.path}/files-{generation}"
+
+    @contextmanager
+    def _table(self, generation: int):
+        """A name for the files of a generation; it leaves the catalogue, the files stay."""
+        name = f"llm_digests_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT) USING parquet "
+                       f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self._files(generation)}'")
+        try:
+            yield name
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
+        with self._table(self.generation) as name:
+            return self.spark.table(name)
+
+    def _append(self, rows: DataFrame, generation: int) -> None:
+        with self._table(generation) as name:
+            rows.repartition(self.buckets, "digest").write.insertInto(name)
 
     def ingest(self, batch: DataFrame) -> None:
         """Append the digests of ``batch`` (doc_id, digest) that are not known yet."""
@@ -54,7 +101,22 @@ class DigestIndex:
         groups = written(batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "batch")
         new = groups.join(self.rows().hint("merge"), "digest", "left_anti").select("digest", "keep_id")
         # a written table first: a plan must not read the table that it appends to
-        written(new, "new-digests").repartition(self.buckets, "digest").write.insertInto(self.name)
+        self._append(written(new, "new-digests"), self.generation)
+        fs, p = self._hadoop(self._files(self.generation))
+        if sum(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(p)) > MOST_FILES * self.buckets:
+            self.compact()
+
+    def compact(self) -> None:
+        """One sorted file per bucket again; the old files go once the new ones are described."""
+        old, self.generation = self.generation, self.generation + 1
+        fs, p = self._hadoop(self._files(self.generation))
+        fs.delete(p, True)  # of a run that ended before it was described
+        with self._table(old) as name:
+            # an expression hides the buckets of the old files, which would otherwise be taken for the wanted partitions
+            self._append(self.spark.table(name).withColumn("digest", F.concat("digest", F.lit(b""))), self.generation)
+        self._store()
+        fs, p = self._hadoop(self._files(old))
+        fs.delete(p, True)
 
 
 def dedupe(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES) -> DataFrame:

@@ -201,6 +201,41 @@ def test_digest_index_persists(spark):
     assert exact_dedup.DigestIndex(spark, index.path, index.buckets).rows().count() == 3
 
 
+def test_digest_index_reopened_under_other_settings(spark):
+    """The index knows its buckets and rule: another number of partitions changes nothing, another layout is refused."""
+    texts = [(i, f"text {i}") for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    tables = {t.name for t in spark.catalog.listTables()}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        index = exact_dedup.DigestIndex(spark)
+        assert exact_dedup.dedupe(docs, index).where("kept").count() == 200
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        again = exact_dedup.DigestIndex(spark, index.path)
+        assert again.buckets == 8 and again.rows().count() == 200
+        later = spark.createDataFrame([(i + 1000, t.upper()) for i, t in texts] + [(5000, "new")], "doc_id long, text string")
+        assert [r.doc_id for r in exact_dedup.dedupe(later, again).where("kept").collect()] == [5000]
+        assert again.rows().count() == 201
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, index.path, 4)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_digest_index_compacts(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_FILES", 2)
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    for k in range(6):
+        batch = spark.createDataFrame([(100 * k + i, f"text {(k * 7 + i) % 40}") for i in range(20)], "doc_id long, text string")
+        exact_dedup.dedupe(batch, index, batches=1).count()
+        assert len(index.rows().inputFiles()) <= 6
+    assert index.generation > 0
+    again = exact_dedup.DigestIndex(spark, index.path)
+    assert again.generation == index.generation and again.rows().count() == again.rows().select("digest").distinct().count() == 40
+
+
 def test_mixing(spark, hard):
     df, rows = hard
     sizes = {}
