@@ -395,11 +395,28 @@ def decode(ids: Column, path: str) -> Column:
     return run(ids)
 
 
+def encode_decode(text: Column, path: str) -> Column:
+    """struct(ids, decoded): as ``encode`` and then ``decode`` of those ids.
+
+    One function for both: of two, the optimizer would run the first again as the second's argument.
+    """
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))
+    def run(texts: pa.Array) -> pa.Array:
+        c = codec(path)
+        ids, decoded = [], []
+        for at in range(0, len(texts), ROWS_AT_ONCE):
+            ids += c.encode_all([t or "" for t in texts.slice(at, ROWS_AT_ONCE).to_pylist()])
+            decoded.append(pa.array([c.decode(i) for i in ids[at:]], pa.string()))
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.concat_arrays(decoded) if decoded else pa.array([], pa.string())], ["ids", "decoded"])
+
+    return run(text)
+
+
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) of every row of ``docs`` (doc_id, text)."""
-    path = path or vocabulary_path()
-    coded = docs.select("doc_id", encode(F.col("text"), path).alias("ids"))
-    return coded.withColumn("decoded", decode(F.col("ids"), path))
+    both = encode_decode(F.col("text"), path or vocabulary_path())
+    return docs.select("doc_id", both.alias("both")).select("doc_id", "both.ids", "both.decoded")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
