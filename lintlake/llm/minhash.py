@@ -6,11 +6,12 @@
    node of a key leaving each task, and the components of these edges (``star_components``) are regions
    outside of which no candidates lie.
 3. In each region pairs whose signatures agree often enough are confirmed on their full sets.  A
-   large region is cut in chunks of bounded size, by set size; every chunk also holds the
-   region's first set, which ties copies of one text together.  Sets not tied to it then visit the
+   large region is cut in chunks of bounded size, by set size; every chunk also holds guests, some
+   sets from all over the region, which tie copies of one text together.  The links found become
+   components by large-star and small-star.  Sets outside the component of their region's first set then visit the
    other chunks that hold a set of fitting size with one of their band keys: signatures first, full sets only of
-   those that agree with somebody.
-4. Confirmed links become components by large-star and small-star again.
+   those that agree with somebody.  (Two unconnected sets are not both in that component, so one of them visits.)
+4. Links between those components become components again.
 
 With 32 bands of 6 rows a pair of similarity 0.85 shares no band with a probability below 3e-7, and
 falls short of the least agreement (six deviations) with 1e-9; all links reported are exact up to
@@ -40,7 +41,8 @@ WIDTH = 5
 PERCENT = 85
 ROWS = 6
 BANDS = 32
-CHUNK_SETS = 64
+CHUNK_SETS = 128
+HUBS = 16
 CHUNK_TOKENS = 1 << 20
 BUCKET_KEYS = 1 << 20
 _STEP = 1 << 18
@@ -260,7 +262,7 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 
 def _planned(members: DataFrame) -> DataFrame:
-    """``members`` with a chunk and a unit of work: small regions share units, large ones have a unit per chunk and their first set in each."""
+    """``members`` with a chunk and a unit of work: small regions share units, large ones have a unit per chunk, with guests from the others."""
     sizes = written(members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens_in")), "sizes")
     big = (F.col("sets") > CHUNK_SETS) | (F.col("tokens_in") > CHUNK_TOKENS)
     small_tokens = sizes.where(~big).agg(F.sum("tokens_in")).first()[0] or 0
@@ -268,17 +270,19 @@ def _planned(members: DataFrame) -> DataFrame:
     of = written(members.join(sizes, "region").withColumn("big", big).drop("sets", "tokens_in"), "of-region")
     small = of.where("NOT big").withColumns({"chunk": F.lit(-1).cast("long"), "unit": F.pmod(F.xxhash64("region"), F.lit(bins))})
     if of.where("big").isEmpty():
-        return written(small, "plan")
+        return written(small.withColumn("guest", F.lit(False)), "plan")
     # sets of like size share a chunk, the fewer the larger they are
     wide = of.where("big").withColumn("scale", F.greatest(F.lit(12), F.ceil(F.log2(F.col("n")))).cast("int"))
     room = F.greatest(F.lit(1), F.least(F.lit(CHUNK_SETS), F.call_function("shiftright", F.lit(CHUNK_TOKENS), F.col("scale"))))
     placed = numbered(wide, ["region", "scale"], ["n", "class_id"])
-    large = written(placed.withColumn("chunk", F.col("scale").cast("long") * (1 << 40) + F.floor(F.col("pos") / room)).drop("scale", "pos", "total"), "chunks")
-    hub = large.where("class_id = region").withColumnRenamed("chunk", "own")
+    # guests are spread evenly over the sizes
+    guest = (F.col("class_id") == F.col("region")) | (F.pmod(F.col("pos"), F.greatest(F.lit(1), F.floor(F.col("total") / HUBS))) == 0)
+    large = written(placed.withColumns({"chunk": F.col("scale").cast("long") * (1 << 40) + F.floor(F.col("pos") / room), "goes": guest}).drop("scale", "pos", "total"), "chunks")
+    hubs = large.where("goes").withColumnRenamed("chunk", "own")
     chunks = large.select("region", "chunk").distinct()
-    hubs = hub.join(chunks, "region").where("chunk != own").drop("own")
-    large = large.unionByName(hubs).withColumn("unit", F.xxhash64("region", "chunk"))
-    return written(small.unionByName(large), "plan")
+    away = hubs.join(chunks, "region").where("chunk != own").drop("own")
+    large = large.withColumn("guest", F.lit(False)).unionByName(away.withColumn("guest", F.lit(True))).drop("goes").withColumn("unit", F.xxhash64("region", "chunk"))
+    return written(small.withColumn("guest", F.lit(False)).unionByName(large), "plan")
 
 
 def _visits(big: DataFrame, loose: DataFrame, percent: int) -> DataFrame:
@@ -311,15 +315,17 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     found = written(_deal(packs, plan.select("class_id", "pack", "ord", "region", "chunk", "unit", "sig"), width).groupBy("unit").applyInArrow(
         lambda t: _within(t, percent), "class_id long, region long, chunk long, root long"), "found")
 
-    big = written(plan.where("big").join(found, ["class_id", "region", "chunk"]), "big")
+    rooted = written(components(found.where("class_id != root").select(F.col("class_id").alias("a"), F.col("root").alias("b"))), "rooted")
+    big = written(plan.where("big AND NOT guest").join(rooted.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id")), "big")
     loose = big.where("root != region")
-    links = found.where("class_id != root").select(F.col("class_id").alias("a"), F.col("root").alias("b"))
     if not loose.isEmpty():
         met = _visits(big, loose, percent)
         near = written(met.groupBy("region", "to", "block").applyInArrow(lambda t: _agreeing(t, percent), met.schema), "agreeing")
         across = _deal(packs, near, width).groupBy("region", "to", "block").applyInArrow(lambda t: _across(t, percent), "a long, b long")
-        links = links.unionByName(written(across, "across"))
-    rooted = components(links).withColumnRenamed("node", "class_id")
+        joined = written(components(written(across, "across")).select(F.col("node").alias("root"), F.col("root").alias("last")), "joined")
+        singles = joined.select(F.col("root").alias("node"), "root")  # roots that no link had reached before
+        rooted = written(rooted.union(singles).distinct().join(joined, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "rooted")
+    rooted = rooted.withColumnRenamed("node", "class_id")
     named = written(classes.join(rooted, "class_id").select("class_id", "doc_id", "root"), "named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
     component = written(named.join(written(least, "least"), "root").select("class_id", "least"), "component")
