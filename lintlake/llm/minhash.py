@@ -6,9 +6,10 @@
    node of a key leaving each task, and the components of these edges (``star_components``) are regions
    outside of which no candidates lie.
 3. In each region pairs whose signatures agree often enough are confirmed on their full sets.  A
-   large region is cut in chunks of bounded size, by set size; every chunk also holds guests, some
-   sets from all over the region, which tie copies of one text together.  The links found become
-   components by large-star and small-star.  Sets outside the component of their region's first set then visit the
+   large region is cut in chunks of bounded size, by set size; every chunk also holds guests, the
+   sets that agree most with the commonest band keys of the region: copies of one text link with those
+   like the text itself.  The links found become
+   components by large-star and small-star.  Sets outside their region's largest component then visit the
    other chunks that hold a set of fitting size with one of their band keys: signatures first, full sets only of
    those that agree with somebody.  (Two unconnected sets are not both in that component, so one of them visits.)
 4. Links between those components become components again.
@@ -28,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import blob, mix, numbered, table, written
@@ -225,18 +226,33 @@ def _within(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"class_id": ids, "region": region, "chunk": chunk, "root": root})
 
 
-def _agreeing(t: pa.Table, percent: int) -> pa.Table:
-    """The rows of a unit that agree with one of the other side."""
-    sigs, root = _sigs_of(t.column("sig")), t.column("root").to_numpy()
-    visitor = t.column("visitor").to_numpy(zero_copy_only=False)
+_LONGS = ["class_id", "pack", "ord", "root"]
+
+
+def _as_row(t: pa.Table) -> pa.Table:
+    """A chunk as one row of blobs; the chunk is of bounded size."""
+    return pa.table({
+        **{c: pa.array([t.column(c)[0].as_py()], pa.int64()) for c in ("region", "chunk", "main")},
+        **{c: pa.array([blob(t.column(c).to_numpy())], pa.binary()) for c in _LONGS}, "sig": pa.array([b"".join(t.column("sig").to_pylist())], pa.binary())})
+
+
+def _agreeing(batches, percent: int):
+    """Of each pair of chunks the loose sets of the first that agree with sets of the second, and those."""
     enough = least_agreement(percent)
-    keep = np.zeros(len(root), bool)
-    home = np.flatnonzero(~visitor)
-    for i in np.flatnonzero(visitor):
-        near = (np.count_nonzero(sigs[home] == sigs[i], axis=1) >= enough) & (root[home] != root[i])
-        keep[i] = near.any()
-        keep[home[near]] = True
-    return t.filter(pa.array(keep))
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
+            side = [{c: np.frombuffer(row[f"{at}_{c}"], np.int64) for c in _LONGS} | {"sig": np.frombuffer(row[f"{at}_sig"], np.uint16).reshape(-1, ROWS * BANDS)} for at in ("home", "to")]
+            loose = side[0]["root"] != row["main"]
+            near = np.zeros((len(loose), len(side[1]["root"])), bool)
+            for k in np.flatnonzero(loose):
+                near[k] = (np.count_nonzero(side[1]["sig"] == side[0]["sig"][k], axis=1) >= enough) & (side[1]["root"] != side[0]["root"][k])
+            for visitor, s, keep in ((True, side[0], near.any(axis=1)), (False, side[1], near.any(axis=0))):
+                n = int(keep.sum())
+                yield pa.RecordBatch.from_pydict({
+                    **{c: pa.array(s[c][keep], pa.int64()) for c in _LONGS}, "sig": pa.array([blob(x) for x in s["sig"][keep]], pa.binary()),
+                    "region": pa.array([row["region"]] * n, pa.int64()), "home": pa.array([row["home"]] * n, pa.int64()),
+                    "to": pa.array([row["to"]] * n, pa.int64()), "visitor": pa.array([visitor] * n, pa.bool_())})
 
 
 def _across(t: pa.Table, percent: int) -> pa.Table:
@@ -249,8 +265,8 @@ def _across(t: pa.Table, percent: int) -> pa.Table:
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    """(class_id, region, chunk, n, root, key) for every band of ``rows``."""
-    names = ["class_id", "region", "chunk", "n", "root"]
+    """(region, chunk, n, root, main, key) for every band of ``rows``."""
+    names = ["region", "chunk", "n", "root", "main"]
 
     def run(batches):
         for batch in batches:
@@ -261,6 +277,41 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.select(*names, "sig").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "key"]))
 
 
+def _central(rows: DataFrame) -> DataFrame:
+    """(region, class_id): the ``HUBS`` sets of each region that hold most of the commonest keys of the bands.
+
+    Each batch counts its own commonest keys alone, which only bears on who is chosen.
+    """
+
+    def common(batches):
+        for batch in batches:
+            region = batch.column("region").to_numpy()
+            keys = band_keys(_sigs_of(batch.column("sig"))) if batch.num_rows else np.zeros((0, BANDS), np.uint64)
+            out = []
+            for r in np.unique(region):
+                for band, column in enumerate(keys[region == r].T):
+                    value, n = np.unique(column, return_counts=True)
+                    out.append((int(r), band, int(value[n.argmax()].view(np.int64)), int(n.max())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["region", "band", "key", "n"])
+
+    def score(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            best = np.full((batch.num_rows, BANDS), 0, np.int64)
+            for i, pairs in enumerate(batch.column("best").to_pylist()):
+                for pair in pairs:
+                    best[i, pair["band"]] = pair["key"]
+            same = (band_keys(_sigs_of(batch.column("sig"))).view(np.int64) == best).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("class_id"), pa.array(same, pa.int64())], ["region", "class_id", "score"])
+
+    counts = rows.select("region", "sig").mapInArrow(common, "region long, band long, key long, n long").groupBy("region", "band", "key").agg(F.sum("n").alias("n"))
+    best = counts.groupBy("region", "band").agg(F.max_by("key", "n").alias("key")).groupBy("region").agg(F.collect_list(F.struct("band", "key")).alias("best"))
+    scored = rows.select("region", "class_id", "sig").join(written(best, "commonest"), "region").mapInArrow(score, "region long, class_id long, score long")
+    first = Window.partitionBy("region").orderBy(F.desc("score"), "class_id")
+    return written(scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= HUBS).select("region", "class_id"), "central")
+
+
 def _planned(members: DataFrame) -> DataFrame:
     """``members`` with a chunk and a unit of work: small regions share units, large ones have a unit per chunk, with guests from the others."""
     sizes = written(members.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens_in")), "sizes")
@@ -275,9 +326,8 @@ def _planned(members: DataFrame) -> DataFrame:
     wide = of.where("big").withColumn("scale", F.greatest(F.lit(12), F.ceil(F.log2(F.col("n")))).cast("int"))
     room = F.greatest(F.lit(1), F.least(F.lit(CHUNK_SETS), F.call_function("shiftright", F.lit(CHUNK_TOKENS), F.col("scale"))))
     placed = numbered(wide, ["region", "scale"], ["n", "class_id"])
-    # guests are spread evenly over the sizes
-    guest = (F.col("class_id") == F.col("region")) | (F.pmod(F.col("pos"), F.greatest(F.lit(1), F.floor(F.col("total") / HUBS))) == 0)
-    large = written(placed.withColumns({"chunk": F.col("scale").cast("long") * (1 << 40) + F.floor(F.col("pos") / room), "goes": guest}).drop("scale", "pos", "total"), "chunks")
+    large = placed.withColumn("chunk", F.col("scale").cast("long") * (1 << 40) + F.floor(F.col("pos") / room)).drop("scale", "pos", "total")
+    large = written(large.join(_central(wide).withColumn("goes", F.lit(True)), ["region", "class_id"], "left").withColumn("goes", F.coalesce("goes", F.lit(False))), "chunks")
     hubs = large.where("goes").withColumnRenamed("chunk", "own")
     chunks = large.select("region", "chunk").distinct()
     away = hubs.join(chunks, "region").where("chunk != own").drop("own")
@@ -285,19 +335,22 @@ def _planned(members: DataFrame) -> DataFrame:
     return written(small.withColumn("guest", F.lit(False)).unionByName(large), "plan")
 
 
-def _visits(big: DataFrame, loose: DataFrame, percent: int) -> DataFrame:
-    """(region, to, block) of each loose class and of the members of the chunks they visit, marked ``visitor``."""
-    columns = ["class_id", "pack", "ord", "region", "root", "sig"]
-    held = written(_keys(big).groupBy("region", "key", F.col("chunk").alias("to")).agg(F.min("n").alias("low"), F.max("n").alias("high")), "held")
-    asked = written(_keys(loose), "asked")
-    fits = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
-    pairs = written(asked.join(held, ["region", "key"]).where((F.col("to") != F.col("chunk")) & fits).select("class_id", "region", "to").distinct(), "visits")
-    blocks = written(pairs.groupBy("region", "to").agg(F.ceil(F.count("*") / CHUNK_SETS).cast("int").alias("blocks")), "blocks")
-    there = pairs.join(blocks, ["region", "to"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    guests = there.join(loose.select(*columns), ["class_id", "region"]).select(*columns, "to", "block", F.lit(True).alias("visitor"))
-    hosts = big.join(blocks.withColumnRenamed("to", "chunk"), ["region", "chunk"]).select(
-        *columns, F.col("chunk").alias("to"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("visitor"))
-    return guests.unionByName(hosts)
+def _visits(big: DataFrame, percent: int) -> DataFrame:
+    """The rows to compare across chunks: (class_id, pack, ord, root, sig, region, home, to, visitor)."""
+    keyed = written(_keys(big), "keyed")
+    size = [F.min("n").alias("low"), F.max("n").alias("high")]
+    held = written(keyed.groupBy("region", "key", F.col("chunk").alias("to")).agg(*size), "held")
+    asked = written(keyed.where("root != main").groupBy("region", "key", F.col("chunk").alias("home")).agg(F.min("n").alias("least"), F.max("n").alias("most")), "asked")
+    fits = (100 * F.col("high") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("low"))
+    pairs = written(asked.join(held, ["region", "key"]).where((F.col("to") != F.col("home")) & fits).select("region", "home", "to").distinct(), "visits")
+    rows = written(big.groupBy("region", "chunk").applyInArrow(
+        _as_row, "region long, chunk long, main long, class_id binary, pack binary, ord binary, root binary, sig binary"), "chunk-rows")
+
+    def named(at: str) -> DataFrame:
+        return rows.select("region", F.col("chunk").alias(at), *(["main"] if at == "home" else []), *[F.col(c).alias(f"{at}_{c}") for c in [*_LONGS, "sig"]])
+
+    return pairs.join(named("home"), ["region", "home"]).join(named("to"), ["region", "to"]).mapInArrow(
+        lambda batches: _agreeing(batches, percent), "class_id long, pack long, ord long, root long, sig binary, region long, home long, to long, visitor boolean")
 
 
 def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -317,11 +370,12 @@ def near_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     rooted = written(components(found.where("class_id != root").select(F.col("class_id").alias("a"), F.col("root").alias("b"))), "rooted")
     big = written(plan.where("big AND NOT guest").join(rooted.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id")), "big")
-    loose = big.where("root != region")
-    if not loose.isEmpty():
-        met = _visits(big, loose, percent)
-        near = written(met.groupBy("region", "to", "block").applyInArrow(lambda t: _agreeing(t, percent), met.schema), "agreeing")
-        across = _deal(packs, near, width).groupBy("region", "to", "block").applyInArrow(lambda t: _across(t, percent), "a long, b long")
+    sizes = written(big.groupBy("region", "root").agg(F.count("*").alias("size")), "component-sizes")
+    main = written(sizes.groupBy("region").agg(F.max_by("root", F.struct("size", "root")).alias("main")), "main")
+    big = written(big.join(main, "region"), "big-main")
+    if not big.where("root != main").isEmpty():
+        near = written(_visits(big, percent), "agreeing")
+        across = _deal(packs, near, width).groupBy("region", "home", "to").applyInArrow(lambda t: _across(t, percent), "a long, b long")
         joined = written(components(written(across, "across")).select(F.col("node").alias("root"), F.col("root").alias("last")), "joined")
         singles = joined.select(F.col("root").alias("node"), "root")  # roots that no link had reached before
         rooted = written(rooted.union(singles).distinct().join(joined, "root", "left").select("node", F.coalesce("last", "root").alias("root")), "rooted")
