@@ -35,6 +35,11 @@ def split_by(c: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(c, pattern, CUT), CUT, -1)
 
 
+def printable(c: Column) -> Column:
+    """Without the control characters that text functions use as marks of their own."""
+    return F.when(c.rlike(r"[\x00-\x08]"), F.regexp_replace(c, r"[\x00-\x08]++", "")).otherwise(c)
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 
@@ -216,10 +221,41 @@ def shape_ok(c: Column) -> Column:
 # --- masked text and SELECT blocks ------------------------------------------------------------------
 
 
+#: One lexer pass: comments, quoted texts and names, numbers, words, blanks, then single signs.  Comments that
+#: stand for an include or a bind are marks of the mapper reader and no comments.
+_COMMENT = r"--[^\n]*+|/\*(?!\s*(?:INCLUDE|BIND):)(?:[^*]++|\*(?!/))*+(?:\*/|\*?$)"
+_TOKEN = "|".join([QUOTED_SINGLE, QUOTED_DOUBLE, r"`[^`]*+`", _COMMENT, r"\d++(?:\.\d++)?", r"[\p{L}_$][\p{L}\p{N}_$]*+", r"\s++", r"[^\s]"])
+_KINDS = [("--", "comment"), ("/*", "comment"), ("'", "string"), ('"', "quoted"), ("`", "name")]
+
+
+def tokens(c: Column) -> Column:
+    """The text as an array of (kind, text): comment, string, quoted, name, number, word, blank or symbol.
+
+    Joined again the texts give the whole input.  A quote that is never closed is a symbol, an open block
+    comment ends with the text.
+    """
+
+    def typed(t: Column) -> Column:
+        kind = F.when(t.rlike(r"^\s"), "blank").when(t.rlike(r"^[\p{L}_$]"), "word").when(t.rlike(r"^\d"), "number")
+        for start, name in _KINDS:
+            kind = kind.when(t.startswith(start) & (F.length(t) > 1), name)
+        return F.struct(kind.otherwise("symbol").alias("kind"), t.alias("text"))
+
+    return F.transform(F.regexp_extract_all(c, F.lit(f"(?s){_TOKEN}"), F.lit(0)), typed)
+
+
+def without_comments(c: Column) -> Column:
+    """A blank for each comment; signs of comments within quotes stay."""
+    cut = F.array_join(F.transform(tokens(c), lambda t: F.when(t["kind"] == "comment", " ").otherwise(t["text"])), "")
+    return F.when(c.rlike(r"--|/\*"), cut).otherwise(c)
+
+
+_LITERAL = r"(')(?:[^'\\]++|\\.)*+'" + "|" + r'(")(?:[^"\\]++|\\.)*+"'
+
+
 def masked(c: Column) -> Column:
-    """PRE-10: upper case, one space, literals emptied."""
-    t = F.regexp_replace(F.upper(normalize(c)), QUOTED_SINGLE, "''")
-    return F.regexp_replace(t, QUOTED_DOUBLE, '""')
+    """PRE-10: no comments, upper case, one space, literals emptied; both kinds of quotes in one pass from the left."""
+    return F.regexp_replace(F.upper(normalize(without_comments(c))), _LITERAL, "$1$1$2$2")
 
 
 _INNER = r"\([^()]*\)"
@@ -304,7 +340,7 @@ def where_conditions(m: Column) -> Column:
             return F.concat(F.left(stack, F.length(stack) - 1), flag)
 
         def more(on: Column) -> Column:
-            return F.when(on == "1", F.concat(kept, piece)).otherwise(kept)
+            return F.when(on == "1", F.concat(kept, F.array(piece))).otherwise(kept)
 
         later = piece.rlike("^ ?(?:GROUP BY|HAVING|ORDER BY|LIMIT)(?:[ \x01]|$)")
         set_op = piece.rlike("^ ?(?:UNION|INTERSECT|EXCEPT|MINUS)(?:[ \x01]|$)")
@@ -312,8 +348,8 @@ def where_conditions(m: Column) -> Column:
         return (
             F.when(piece == "(", state(F.concat(stack, now, now), more(now)))
             .when(piece == ")", state(below, more(F.right(below, F.lit(1)))))
-            .when(begins & (F.concat(base, now) == "00"), state(turn(F.lit("1")), F.concat(kept, F.lit(CUT), F.substr(piece, F.lit(8)))))
-            .when(begins, state(turn(F.lit("1")), F.concat(kept, piece)))
+            .when(begins & (F.concat(base, now) == "00"), state(turn(F.lit("1")), F.concat(kept, F.array(F.lit(CUT), F.substr(piece, F.lit(8))))))
+            .when(begins, state(turn(F.lit("1")), F.concat(kept, F.array(piece))))
             .when(later, state(turn(F.lit("0")), kept))
             .when(set_op, state(turn(base), more(base)))
             .otherwise(state(stack, more(now)))
@@ -321,7 +357,8 @@ def where_conditions(m: Column) -> Column:
 
     start = F.struct(F.translate(m, f"{CUT}\x01\x02", "   ").alias("text"), F.lit(True).alias("open"))
     aside = F.aggregate(rounds, start, lambda s, _: F.when(s["open"], one_pass(s)).otherwise(s))["text"]
-    kept = F.aggregate(F.split(aside, _PIECES), state(F.lit("00"), F.lit("")), read)["kept"]
+    none = F.array().cast("array<string>")
+    kept = F.array_join(F.aggregate(F.split(aside, _PIECES), state(F.lit("00"), none), read)["kept"], "")
     found = F.filter(F.split(F.translate(kept, "\x01\x02", "()"), CUT), lambda c: c != "")
     first = F.regexp_extract(m, "^[^()]*? WHERE (.*)$", 1)  # all there is where no other clause and no parenthesis comes before
     single = (first != "") & (F.regexp_count(m, F.lit(rf"(?:^|[ )]){_CLAUSE}")) == 1)

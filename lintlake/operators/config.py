@@ -1,8 +1,8 @@
 """Rule configuration as a table: (rule_id, enabled, severity, exceptions, params).
 
 ``lint(config=...)`` applies all of it in the statement's own row.  The functions here do
-the same to an issue frame of any origin; the configuration side is joined by rule id and
-is broadcast only when its planned size allows it.
+the same to an issue frame of any origin; the configuration side is joined by rule id, with hot
+rules split at run time (``hot_key_join``).  Where a rule has several rows, ``one_per_rule`` says what holds.
 """
 
 from __future__ import annotations
@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from lintlake.sizing import hot_key_join
 
 
+def one_per_rule(config: DataFrame) -> DataFrame:
+    """One row for each rule: off when any row switches it off, all exceptions, the smallest severity name and value of a parameter given."""
+    pairs = F.flatten(F.collect_list(F.coalesce(F.map_entries("params"), F.array().cast("array<struct<key:string,value:string>>"))))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    params = F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_min(F.transform(F.filter(pairs, lambda p: p["key"] == k), lambda p: p["value"]))))
+    return config.where("rule_id IS NOT NULL").groupBy("rule_id").agg(
+        F.min(F.coalesce("enabled", F.lit(True))).alias("enabled"), F.min("severity").alias("severity"),
+        F.array_distinct(F.flatten(F.collect_list(F.coalesce("exceptions", F.array().cast("array<string>"))))).alias("exceptions"), params.alias("params"))
+
+
 def drop_disabled(issues: DataFrame, config: DataFrame) -> DataFrame:
     """CFG-1: anti join with the rules that are switched off."""
     off = config.where(~F.coalesce(F.col("enabled"), F.lit(True))).select("rule_id").distinct()

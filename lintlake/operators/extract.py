@@ -277,7 +277,7 @@ def tagged(found: Column, source_type: str) -> Column:
 
 def _extract(files: DataFrame, exts: tuple[str, ...], find: Callable[[Column], Column], source: str) -> DataFrame:
     wanted = files.where(extension(F.col("path")).isin(*exts))
-    return explode_candidates(wanted, tagged(find(F.col("content")), source))
+    return explode_candidates(wanted, tagged(find(tx.printable(F.col("content"))), source))
 
 
 def extract_java(files: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ class Extractors:
         """EXT-16: occurrences of all files.  One pass; each file takes the branch of its type."""
         content = F.col("content")
         empty = F.array().cast("array<struct<line:int,sql:string,source_type:string>>")
-        typed = files.select("path", "content", extension(F.col("path")).alias("ext"))
+        typed = files.select("path", tx.printable(F.col("content")).alias("content"), extension(F.col("path")).alias("ext"))
         found = None
         for ext, entries in self._by_ext.items():
             arrays = F.concat(*[tagged(find(content), source) for _, _, source, find in entries])

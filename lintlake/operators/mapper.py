@@ -311,7 +311,7 @@ def mapper_statements(content: Column) -> Column:
     EXT-14: the line is that of the first element with the same tag and id, or with the same
     tag where the element has no id.
     """
-    text = F.transform(F.array(prepared_text(content)), lambda t: F.struct(t.alias("text"), fragments_of(t).alias("frag")))
+    text = F.transform(F.array(prepared_text(tx.printable(content))), lambda t: F.struct(t.alias("text"), fragments_of(t).alias("frag")))
     elements = F.transform(text, lambda s: _elements(s["text"], s["frag"]))[0]
     places = lambda es: F.transform(es, lambda e: F.struct(e["name"], e["id"], e["line"]))
     located = F.transform(F.array(elements), lambda es: F.struct(es.alias("es"), places(es).alias("ps")))[0]

@@ -14,7 +14,7 @@ from lintlake.plans.guard import with_guard
 def preprocess(stmts: DataFrame, explain_enabled: bool = False) -> DataFrame:
     """Add category, norm, masked, parsed, validity, eligibility, explain_sql, reason.
 
-    ``norm`` is the text to analyse: the normalised statement, repaired only when its
+    ``norm`` is the text to analyse: the normalised statement without comments, repaired only when its
     shape is not valid.  Every step is a projection.
     """
     sql = F.col("original_sql")
@@ -22,7 +22,7 @@ def preprocess(stmts: DataFrame, explain_enabled: bool = False) -> DataFrame:
     step1 = stmts.select(
         *kept,
         tx.sql_category(sql, F.col("source_type")).alias("category"),
-        tx.normalize(sql).alias("_plain"),
+        tx.normalize(tx.without_comments(sql)).alias("_plain"),
         F.coalesce(sql.contains("${"), F.lit(False)).alias("_dollar"),
     )
     step2 = step1.withColumn("_plain_mask", tx.masked(F.col("_plain")))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from lintlake import fixed_values as fv
 from lintlake.functions import text as tx
 from lintlake.functions.sqltext import once, quote, sql_map
+from lintlake.operators.config import one_per_rule
 
 ISSUE_ARRAY = (
     "array<struct<rule_id:string,rule_name:string,type:string,severity:string,message:string,suggestion:string>>"
@@ -391,14 +392,15 @@ def lint(
     the fallback checks on the others; ``full`` runs smells and rules on every statement;
     ``rules``, ``smells``, ``basic`` and ``fallback`` run only those checks.
     The list is bounded by the number of rules.  With a ``config`` frame, thresholds,
-    severities, switched-off rules and exceptions are taken from it (a map of rules, one value for all rows).
+    severities, switched-off rules and exceptions are taken from it (a map of rules, one value for all rows;
+    of several rows for a rule see ``config.one_per_rule``).
     """
     active = (rules or RuleSet()).active()
     base = list(stmts.columns)
     work = stmts
     if config is not None:
         entry = F.struct("enabled", "severity", "exceptions", "params")
-        one_row = config.agg(F.map_from_entries(F.collect_list(F.struct("rule_id", entry))).alias("t_cfg"))
+        one_row = one_per_rule(config).agg(F.map_from_entries(F.collect_list(F.struct("rule_id", entry))).alias("t_cfg"))
         work = work.withColumn("t_cfg", one_row.scalar())
     cfg = ["t_cfg"] if config is not None else []
     sql = F.col(sql_col)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
@@ -110,6 +110,35 @@ _scalar("pre_07_fix_concat", tx.fix_concat, tw.fix_concat("sql"), "fixed")
 _scalar("pre_10_masked", tx.masked, tw.masked("sql"), "masked")
 
 
+def commented(c: Column) -> Column:
+    """A statement with comments before it, behind its first word and at its end; they hold quotes, keywords and other signs."""
+    inside = F.regexp_replace(c, r"^(\w+)\s", "$1 -- don't \"SELECT\" * FROM /* x; UPPER(z) = 1\n")
+    return F.concat(F.lit("/* it's, \"a\" -- WHERE\n * x != NULL; */"), inside, F.lit(" /**/-- OR b = 'c"))
+
+
+@query("pre_10_commented", with_(f"SELECT event_id, {tw.masked('sql')} AS masked FROM marked", "marked"))
+def _(spark, sf):
+    return marked(spark, sf).select("event_id", tx.masked(commented(F.col("sql"))).alias("masked"))
+
+
+_QUOTED = f"regexp_extract_all(sql, {tw.SINGLE_QUOTED[:-1]}|{tw.DOUBLE_QUOTED[1:]})"
+
+
+@query("pre_10_tokens", with_(
+    f"""SELECT event_id, CAST(CASE WHEN regexp_matches(sql, '^\w+\s') THEN 4 ELSE 3 END AS INTEGER) AS comments,
+        CAST(len({_QUOTED}) AS INTEGER) AS quotes, true AS whole FROM marked""", "marked"))
+def _(spark, sf):
+    text = marked(spark, sf).select("event_id", commented(F.col("sql")).alias("sql"))
+    found = text.select("event_id", "sql", tx.tokens(F.col("sql")).alias("t"))
+
+    def number(*kinds: str) -> Column:
+        return F.size(F.filter("t", lambda x: x["kind"].isin(*kinds)))
+
+    return found.select(
+        "event_id", number("comment").alias("comments"), number("string", "quoted").alias("quotes"),
+        (F.array_join(F.transform("t", lambda x: x["text"]), "") == F.col("sql")).alias("whole"))
+
+
 @query("pre_02_category",
        with_(f"SELECT event_id, {tw.category_case('sql', 'source_type')} AS category FROM marked", "marked"))
 def _(spark, sf):
@@ -312,6 +341,19 @@ def _(spark, sf):
 _ISSUE_COLS = ["stmt_id", "issue_no", "rule_id", "rule_name", "type", "severity", "message", "suggestion", "evidence"]
 
 
+_RULES = [rule for _, rule in _RULE_KEYS if rule != "long-sql-statement"]
+_RULE_COLS = ["stmt_id", "rule_id", "rule_name", "type", "severity", "message", "suggestion"]
+
+
+@query("rul_28_commented", with_(f"SELECT {', '.join(_RULE_COLS)} FROM issue WHERE rule_id IN ({tw.words(_RULES)})", "issue"))
+def _(spark, sf):
+    """Statements with comments have the issues of those without."""
+    plain = prepared(spark, sf).select("stmt_id", "original_sql", "source_type", "first_file")
+    again = preprocess(plain.withColumn("original_sql", commented(F.col("original_sql"))))
+    found = ru.evaluate(again, profile="scan")
+    return found.where(F.col("rule_id").isin(*_RULES)).select(*_RULE_COLS)
+
+
 @query("rul_28_evaluate_all", with_(f"SELECT {', '.join(_ISSUE_COLS)} FROM issue", "issue"))
 def _(spark, sf):
     return ru.evaluate(prepared(spark, sf), profile="scan").select(*_ISSUE_COLS)

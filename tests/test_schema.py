@@ -49,17 +49,25 @@ def test_first_definition_and_separate_index(spark):
     assert len(t) == 1 and t[0].columns == ["x", "y"] and t[0].indexed_columns == ["x", "y"]
 
 
-def test_salted_risks_equal_plain_ones(spark):
-    """One table holds most statements; both join forms give the same rows."""
+def test_risks_of_a_hot_table(spark):
+    """One table holds most statements: without broadcast the risks come from sort-merge joins whose left side can be split, with the same rows."""
     sqls = ["SELECT hall FROM seat WHERE buyer = 1"] * 300 + [f"SELECT id FROM gone{i % 3} WHERE a{i} = 1" for i in range(30)]
     st, tables = frames(spark, [DDL], sqls)
     cols = ["stmt_id", "risk_type", "table_name", "predicate_columns", "missing_index_columns"]
     plain = sorted(map(str, sch.schema_risks(st, tables).select(*cols).collect()))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
     try:
-        salted_frame = sch.schema_risks(st, tables).select(*cols)
-        assert "_salt" in salted_frame._jdf.queryExecution().optimizedPlan().toString()
-        salted = sorted(map(str, salted_frame.collect()))
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        frame = sch.schema_risks(st, tables).select(*cols)
+        merged = sorted(map(str, frame.collect()))
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(plain) == 330 and plain == salted
+        for k in settings:
+            spark.conf.unset(k)
+    assert len(plain) == 330 and plain == merged
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    # the kinds whose left side may be split; a right or full outer join could not be
+    assert joins and all("SortMergeJoin" in j and any(kind in j for kind in ("Inner", "LeftOuter", "LeftSemi", "LeftAnti")) for j in joins)
