@@ -436,8 +436,20 @@ def test_pipeline_stages(spark, hard, nothing):
     assert sizes[0] <= len(rows) and sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[4] > 0
 
 
+def test_pipeline_of_nothing(spark, nothing):
+    docs = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.count() == 0
+
+
 def test_pipeline(spark):
+    for name in corpus_pipeline.SETTINGS:
+        spark.conf.unset(name)
+    before = {name: spark.conf.get(name, None) for name in corpus_pipeline.SETTINGS}
     out = corpus_pipeline.run(spark, SF)
+    assert {name: spark.conf.get(name, None) for name in corpus_pipeline.SETTINGS} == before
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     text = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in docs.collect()}
     got = out.collect()
