@@ -459,3 +459,27 @@ CAMPAIGNS = [
      ["定位 MyBatis 动态分支、数据库方言或占位符归一化问题，补齐最小样例后重新扫描。"],
      ["重新扫描并确认 UNKNOWN/SQL_SYNTAX_ERROR 已下降，或被归类到明确规则。"]),
 ]
+
+# --- fixed values: patterns whose matches must agree ------------------------------------------------------
+
+# of DDL and of the columns that a statement compares
+CREATE_INDEX = (
+    r"(?is)CREATE\s+(?:UNIQUE\s+)?INDEX\s+`?\w+`?\s+ON\s+(?:`?\w+`?\.)?`?(\w+)`?\s*\(([^)]+)\)"
+)
+INLINE_INDEX = r"(?i)(?:UNIQUE\s+|FULLTEXT\s+|SPATIAL\s+)?(?:KEY|INDEX)\s+`?\w+`?\s*\(([^)]+)\)"
+TABLE_NAME = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:`?\w+`?\.)?`?(\w+)`?"
+PREDICATE = (
+    r"(?i)(?:\b[`\w]+`?\.)?`?([A-Za-z_]\w*)`?\s*(?:=|<>|!=|<=|>=|<|>|\bIN\b|\bLIKE\b|\bBETWEEN\b|\bIS\b)"
+)
+
+# what makes a mapper template parseable, in this order
+TEMPLATE_REPAIRS = [
+    (r"(?<!['\"])\s*,\s*,+\s*", ", "),
+    (r"(?i)\bfrom\s+([`\w.]+)\s+and\s+", "FROM $1 WHERE "),
+    (r"(?i)\bcase\s*\?\s*end\b", "1"),
+    (r"(?i)\bvalues\s*\?(?=\s|$)", "VALUES (1)"),
+    (r"(?i)\bset\s*\?(?=\s*(where\b|$))", "SET template_value = 1"),
+    (r"(?i)\bwhere\s*\?(?=\s|$)", "WHERE 1 = 1"),
+    (r"(?i)\band\s*\?(?=\s|$)", "AND 1 = 1"),
+    (r"(?i)\bor\s*\?(?=\s|$)", "OR 1 = 1"),
+]

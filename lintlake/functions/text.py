@@ -154,14 +154,7 @@ def fix_template(c: Column) -> Column:
         (fv.IN_HASH_PAREN, "IN (1)"),
         (fv.IN_HASH, "IN (1)"),
         (fv.HASH_PARAM, "1"),
-        (r"(?<!['\"])\s*,\s*,+\s*", ", "),
-        (r"(?i)\bfrom\s+([`\w.]+)\s+and\s+", "FROM $1 WHERE "),
-        (r"(?i)\bcase\s*\?\s*end\b", "1"),
-        (r"(?i)\bvalues\s*\?(?=\s|$)", "VALUES (1)"),
-        (r"(?i)\bset\s*\?(?=\s*(where\b|$))", "SET template_value = 1"),
-        (r"(?i)\bwhere\s*\?(?=\s|$)", "WHERE 1 = 1"),
-        (r"(?i)\band\s*\?(?=\s|$)", "AND 1 = 1"),
-        (r"(?i)\bor\s*\?(?=\s|$)", "OR 1 = 1"),
+        *fv.TEMPLATE_REPAIRS,
     ]
     return normalize(_rewrite(c, steps))
 

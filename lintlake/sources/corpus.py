@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from urllib.parse import quote
 
 import pandas as pd
@@ -47,6 +48,8 @@ def _children(batches):
             try:
                 store, inside = fs.FileSystem.from_uri(folder)
                 found = store.get_file_info(fs.FileSelector(inside))
+                if isinstance(store, fs.LocalFileSystem):  # a link to a folder may lead back here
+                    found = [f for f in found if f.type != fs.FileType.Directory or not os.path.islink(f.path)]
                 names = (quote(f.base_name) if "://" in folder else f.base_name for f in found)
                 rows = [(f"{folder}/{name}", f.type == fs.FileType.Directory, None) for name, f in zip(names, found)]
             except OSError as e:
@@ -75,7 +78,8 @@ def read_every_file(spark: SparkSession, root: str) -> DataFrame:
     ``root`` is an absolute path or a URI that Arrow's file systems know.  Folders are listed
     level by level, each level by all tasks; then the files are dealt out by path and read one
     at a time.  A folder that cannot be listed or a file that cannot be read is a row with
-    ``error`` and no content.  Bytes that are no UTF-8 become replacement characters.
+    ``error`` and no content.  Bytes that are no UTF-8 become replacement characters.  Links to files
+    are read, links to folders are not followed: every file is found once, and the walk ends.
     """
     root = root.rstrip("/")
     level = spark.createDataFrame([(root,)], "path string")

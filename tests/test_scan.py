@@ -168,3 +168,22 @@ def test_missing_root_is_a_row(spark, tmp_path):
 
     (row,) = read_every_file(spark, str(tmp_path / "nowhere")).collect()
     assert row.content is None and row.error
+
+
+def test_walk_does_not_follow_links_to_folders(spark, tmp_path):
+    """A link to the folder above and one to a folder beside: every file once; a link to a file is read."""
+    from lintlake.sources.corpus import read_every_file
+
+    root, other = tmp_path / "root", tmp_path / "other"
+    (root / "a" / ".hidden").mkdir(parents=True)
+    other.mkdir()
+    (root / "a" / "x.sql").write_text("SELECT 1 FROM t")
+    (root / "a" / ".hidden" / "_y.sql").write_text("SELECT 2 FROM t")
+    (other / "z.sql").write_text("SELECT 3 FROM t")
+    (root / "a" / "up").symlink_to(root, target_is_directory=True)
+    (root / "beside").symlink_to(other, target_is_directory=True)
+    (root / "linked.sql").symlink_to(other / "z.sql")
+    (root / "gone.sql").symlink_to(tmp_path / "nowhere.sql")
+    got = {r.path: (r.content, r.error is None) for r in read_every_file(spark, str(root)).collect()}
+    found = {p: c for p, (c, fine) in got.items() if fine}
+    assert found == {"a/x.sql": "SELECT 1 FROM t", "a/.hidden/_y.sql": "SELECT 2 FROM t", "linked.sql": "SELECT 3 FROM t"}
