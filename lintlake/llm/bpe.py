@@ -46,6 +46,7 @@ SLOTS = 1 << 20
 WIDE = 64
 SLICE = 1 << 20
 ROWS_AT_ONCE = 256
+PIECES_AT_ONCE = 1 << 13
 #: Fixed value: the split of byte-level tokenizers, as public_tokenizers.PATTERN
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 40
@@ -85,9 +86,11 @@ class _Pieces(dict):
         if len(self) >= CACHE_PIECES:
             self.older = dict(self)
             self.clear()
-        new = {p: e for p in pieces if p not in self and p not in self.older and 0 < len(e := p.encode()) <= WIDE}
-        if new:
-            self.update(zip(new, self.many(list(new.values()))))
+        new = [(p, e) for p in pieces if p not in self and p not in self.older and 0 < len(e := p.encode()) <= WIDE]
+        new.sort(key=lambda pair: len(pair[1]))  # pieces of like length make narrow arrays
+        for at in range(0, len(new), PIECES_AT_ONCE):
+            part = new[at:at + PIECES_AT_ONCE]
+            self.update(zip([p for p, _ in part], self.many([e for _, e in part])))
 
 
 class Codec:
