@@ -125,7 +125,7 @@ _QUOTED = f"regexp_extract_all(sql, {tw.SINGLE_QUOTED[:-1]}|{tw.DOUBLE_QUOTED[1:
 
 
 @query("pre_10_tokens", with_(
-    f"""SELECT event_id, CAST(CASE WHEN regexp_matches(sql, '^\w+\s') THEN 4 ELSE 3 END AS INTEGER) AS comments,
+    rf"""SELECT event_id, CAST(CASE WHEN regexp_matches(sql, '^\w+\s') THEN 4 ELSE 3 END AS INTEGER) AS comments,
         CAST(len({_QUOTED}) AS INTEGER) AS quotes, true AS whole FROM marked""", "marked"))
 def _(spark, sf):
     text = marked(spark, sf).select("event_id", commented(F.col("sql")).alias("sql"))
