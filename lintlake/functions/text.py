@@ -243,12 +243,12 @@ def without_comments(c: Column) -> Column:
     return F.when(c.rlike(r"--|/\*"), cut).otherwise(c)
 
 
-_LITERAL = r"(')(?:[^'\\]++|\\.)*+'" + "|" + r'(")(?:[^"\\]++|\\.)*+"'
+LITERAL = r"(')(?:[^'\\]++|\\.)*+'" + "|" + r'(")(?:[^"\\]++|\\.)*+"'
 
 
 def masked(c: Column) -> Column:
     """PRE-10: no comments, upper case, one space, literals emptied; both kinds of quotes in one pass from the left."""
-    return F.regexp_replace(F.upper(normalize(without_comments(c))), _LITERAL, "$1$1$2$2")
+    return F.regexp_replace(F.upper(normalize(without_comments(c))), LITERAL, "$1$1$2$2")
 
 
 _INNER = r"\([^()]*\)"

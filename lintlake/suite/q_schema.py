@@ -297,6 +297,35 @@ def _(spark, sf):
     return _table_cols(sch.infer_tables(dml(spark, sf)))
 
 
+# number = event_id % 5: text with aliases that return in inner SELECTs, cells (table.column) by hand
+SCOPED = [
+    ("SELECT a.x FROM tg{u} a WHERE EXISTS (SELECT 1 FROM th{u} a WHERE a.y = 1)", ["tg{u}.x", "th{u}.y"]),
+    ("SELECT a.x, k FROM tg{u} a WHERE a.z IN (SELECT a.id FROM ti{u} a JOIN tj{u} b ON a.p = b.q WHERE b.r = a.w AND m = ') FROM z') AND a.s = 2",
+     ["tg{u}.x", "tg{u}.k", "tg{u}.z", "tg{u}.s", "ti{u}.id", "ti{u}.p", "ti{u}.w", "ti{u}.m", "tj{u}.q", "tj{u}.r"]),
+    ("SELECT a.x FROM tg{u} a UNION ALL SELECT a.y FROM tk{u} a WHERE (a.z = 1 OR a.v > 2)", ["tg{u}.x", "tk{u}.y", "tk{u}.z", "tk{u}.v"]),
+    ("UPDATE tl{u} SET a = 1 WHERE id IN (SELECT tid FROM th{u} WHERE b = 2)", ["tl{u}.a", "tl{u}.id", "th{u}.tid", "th{u}.b"]),
+    ("SELECT a.x FROM tg{u} a WHERE EXISTS (SELECT 1 FROM ti{u} b WHERE b.y = a.l AND EXISTS (SELECT 1 FROM tm{u} b WHERE b.j = a.n))",
+     ["tg{u}.x", "tg{u}.l", "tg{u}.n", "ti{u}.y", "tm{u}.j"]),
+]
+
+
+def scoped_dml(spark, sf) -> DataFrame:
+    ev = corpus.table(spark, sf, "events", "event_id", "user_id")
+    e, u = F.col("event_id"), F.col("user_id")
+    return ev.select(e.alias("stmt_id"), corpus.fill(corpus.pick(e % 5, [d[0] for d in SCOPED]), e, u).alias("norm"))
+
+
+_SCOPED_CELLS = ", ".join(f"({i}, {q(c.split('.')[0])}, {q(c.split('.')[1])})" for i, d in enumerate(SCOPED) for c in d[1])
+
+
+@query("sch_18_scoped_aliases",
+       f"SELECT t AS table_key, min(t) AS table_name, string_agg(DISTINCT col, ',' ORDER BY col) AS columns FROM (SELECT "
+       f"replace(c.t, '{{u}}', user_id::VARCHAR) AS t, c.col FROM events JOIN (VALUES {_SCOPED_CELLS}) c(kind, t, col) "
+       "ON event_id % 5 = c.kind) GROUP BY 1")
+def _(spark, sf):
+    return _table_cols(sch.infer_tables(scoped_dml(spark, sf)))
+
+
 @query("sch_20_resolve_schema", with_(
     f"SELECT table_key, table_name, {_split('cols')} AS columns, 'with ddl' AS case_name FROM ddl_table UNION ALL "
     "SELECT table_key, table_name, columns, 'no ddl' FROM dml_table", "ddl_table", "dml_table"))

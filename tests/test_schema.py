@@ -71,3 +71,30 @@ def test_risks_of_a_hot_table(spark):
     joins = [line for line in plan.splitlines() if "Join" in line]
     # the kinds whose left side may be split; a right or full outer join could not be
     assert joins and all("SortMergeJoin" in j and any(kind in j for kind in ("Inner", "LeftOuter", "LeftSemi", "LeftAnti")) for j in joins)
+
+
+def test_aliases_belong_to_their_select(spark):
+    sqls = [
+        "SELECT a.x FROM t a WHERE EXISTS (SELECT 1 FROM u a WHERE a.y = 1)",
+        "SELECT a.x FROM t a UNION SELECT a.y FROM u a",
+        "SELECT d.q FROM (SELECT x FROM t WHERE y = '(SELECT') d WHERE n = 3",
+        "INSERT INTO t (a, b) SELECT c, d FROM u WHERE e IN (SELECT f FROM g)",
+        "SELECT x FROM t WHERE k IN (SELECT k2 FROM u WHERE EXISTS (SELECT 1 FROM w a WHERE a.i = u.j AND l = 3",
+    ]
+    want = [
+        {("t", "x"), ("t", None), ("u", "y"), ("u", None)},
+        {("t", "x"), ("t", None), ("u", "y"), ("u", None)},
+        {("d", "q"), ("t", "x"), ("t", "y"), ("t", None)},
+        {("t", "a"), ("t", "b"), ("t", None)},
+        {("t", "x"), ("t", "k"), ("t", None), ("u", "k2"), ("u", "j"), ("u", None), ("w", "i"), ("w", "l"), ("w", None)},
+    ]
+    for sql, cells in zip(sqls, want):
+        one = spark.createDataFrame([("s", sql)], "stmt_id string, norm string")
+        assert {(r.table_name, r["column"]) for r in sch.infer_columns(one).collect()} == cells, sql
+
+
+def test_scopes_of_null_and_deep_statements(spark):
+    deep = "SELECT a FROM t0" + "".join(f" WHERE a IN (SELECT a FROM t{i}" for i in range(1, 60)) + ")" * 59
+    df = spark.createDataFrame([(1, None), (2, ""), (3, deep)], "stmt_id int, norm string")
+    got = {(r.table_name, r["column"]) for r in sch.infer_columns(df).collect()}
+    assert got == {(f"t{i}", c) for i in range(60) for c in ("a", None)}
