@@ -63,10 +63,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     """A given table, reduced to some columns.
 
     The text made from a row costs far more than the few columns read, so rows are dealt out by the first
-    of them before any text is made: a file with few row groups would keep few tasks busy.
+    of them before any text is made: a file with few row groups would keep few tasks busy.  Their number is the
+    session's: left open, partitions would be merged by the size of these narrow columns and not by the work.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns).repartition(columns[0]) if columns else df
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(*columns).repartition(partitions, columns[0]) if columns else df
 
 
 def fill(template: Column, e: Column, u: Column) -> Column:
