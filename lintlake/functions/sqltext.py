@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,16 @@ def once(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
+def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once, in a step which other filters cross.
+
+    The step is a one-row generator: a filter on the new columns stays above it, where ``once`` would hold back
+    every filter; one on the columns of ``df`` passes it and reaches the scan.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(made)))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, however often it is named."""
     return F.transform(F.array(value), use)[0]

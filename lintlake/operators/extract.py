@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text as tx
-from lintlake.functions.sqltext import let, once
+from lintlake.functions.sqltext import let
 from lintlake.sources.corpus import extension, file_name
 
 CANDIDATES = "array<struct<line:int,sql:string>>"
@@ -261,7 +261,7 @@ def js_literals(content: Column) -> Column:
 def explode_candidates(files: DataFrame, found: Column) -> DataFrame:
     """``found`` is an array of (line, sql, source_type)."""
     rows = files.select(
-        "path", file_name(F.col("path")).alias("file_name"), F.explode_outer(once(found)).alias("x")
+        "path", file_name(F.col("path")).alias("file_name"), F.explode_outer(found).alias("x")
     )
     return rows.where(F.col("x").isNotNull()).select("path", "file_name", "x.line", "x.source_type", "x.sql")
 

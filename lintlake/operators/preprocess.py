@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text as tx
-from lintlake.functions.sqltext import once
+from lintlake.functions.sqltext import with_computed
 from lintlake.plans.guard import with_guard
 
 
@@ -26,7 +26,7 @@ def preprocess(stmts: DataFrame, explain_enabled: bool = False) -> DataFrame:
         F.coalesce(sql.contains("${"), F.lit(False)).alias("_dollar"),
     )
     step2 = step1.withColumn("_plain_mask", tx.masked(F.col("_plain")))
-    step3 = step2.withColumn("_plain_ok", once(tx.shape_of_masked(F.col("_plain_mask"))))
+    step3 = with_computed(step2, _plain_ok=tx.shape_of_masked(F.col("_plain_mask")))
     template = F.col("category").isin(*tx.TEMPLATE_CATEGORIES) & ~F.col("_plain_ok")
     concat = F.col("category").isin(*tx.CONCAT_CATEGORIES) & ~F.col("_plain_ok")
     fixed = step3.withColumn("_fixed", F.when(template, tx.fix_template(F.col("_plain"))).otherwise(F.col("_plain")))
@@ -34,7 +34,7 @@ def preprocess(stmts: DataFrame, explain_enabled: bool = False) -> DataFrame:
     step5 = step4.withColumn(
         "masked", F.when(F.col("_plain_ok"), F.col("_plain_mask")).otherwise(tx.masked(F.col("norm")))
     )
-    step6 = step5.withColumn("parsed", once(F.col("_plain_ok") | tx.shape_of_masked(F.col("masked"))))
+    step6 = with_computed(step5, parsed=F.col("_plain_ok") | tx.shape_of_masked(F.col("masked")))
     blank = tx.is_blank(sql)
     base_reason = F.when(
         ~F.col("parsed"), F.when(F.col("_dollar"), fv.REASON_DOLLAR).otherwise(fv.REASON_UNPARSED)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text as tx
-from lintlake.functions.sqltext import once, quote, sql_map
+from lintlake.functions.sqltext import quote, sql_map, with_computed
 from lintlake.operators.config import one_per_rule
 
 ISSUE_ARRAY = (
@@ -451,7 +451,7 @@ def lint(
             "exists(coalesce(t_cfg[i.rule_id].exceptions, cast(array() as array<string>)), "
             "e -> e <> '' AND contains(t_sql, e)))"
         )
-    return work.select(*base, once(F.expr(issues)).alias("issues"))
+    return with_computed(work, issues=F.expr(issues)).select(*base, "issues")
 
 
 def explode_issues(linted: DataFrame) -> DataFrame:

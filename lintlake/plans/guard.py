@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.functions import text as tx
-from lintlake.functions.sqltext import once
+from lintlake.functions.sqltext import with_computed
 
 GUARD_COLUMNS = ["explain_sql", "eligibility", "reason", "changed"]
 
@@ -41,7 +41,7 @@ def with_guard(df: DataFrame, sql_col: str, prefix: str = "") -> DataFrame:
         .when(~F.col("_readable"), fv.REASON_NOT_READONLY)
         .when(F.col("_has_dollar"), fv.REASON_EXPLAIN_DOLLAR)
     )
-    judged = tests.withColumn("_reason", once(reason))
+    judged = with_computed(tests, _reason=reason)
     ok = F.col("_reason").isNull()
     return judged.withColumns({
         f"{prefix}explain_sql": F.when(ok, F.col("_bound")),
