@@ -13,11 +13,10 @@ from lintlake import fixed_values as fv
 from lintlake.functions import text as tx
 from lintlake.functions.sqltext import once, sql_array, sql_map
 from lintlake.operators.scoring import severity_rank
-from lintlake.plans.nodes import plan_issues, plan_rollup
+from lintlake.plans.nodes import EXPLAIN_TYPES, plan_rollup
 from lintlake.session import materialized
 from lintlake.sizing import hot_key_join
 
-EXPLAIN_TYPES = "array<struct<first_no:int,type:string,n:bigint,message:string>>"
 
 
 def one_decimal(c: Column) -> Column:
@@ -32,22 +31,6 @@ def safe(c: Column, other) -> Column:
 # --- findings (AGG-5, AGG-6, AGG-22) -----------------------------------------------------------------
 
 
-def explain_types(nodes: DataFrame, threshold: int = fv.HIGH_ROWS_THRESHOLD) -> DataFrame:
-    """Plan issues of each statement by type (at most five): count and first message.
-
-    The first grouping combines in the map tasks; the second collects one row per type.
-    """
-    per_type = plan_issues(nodes, threshold).groupBy("stmt_id", "type").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("issue_no", "message")).alias("first"))
-    return per_type.groupBy("stmt_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(F.col("first.issue_no").alias("first_no"), "type", "n", F.col("first.message").alias("message"))
-            )
-        ).cast(EXPLAIN_TYPES).alias("explain")
-    )
-
-
 def findings(
     scored: DataFrame,
     nodes: DataFrame | None = None,
@@ -62,8 +45,7 @@ def findings(
     out = scored
     zero = F.lit(0).cast("bigint")
     if nodes is not None:
-        out = out.join(plan_rollup(nodes, threshold), "stmt_id", "left").join(
-            explain_types(nodes, threshold), "stmt_id", "left")
+        out = out.join(plan_rollup(nodes, threshold, with_types=True), "stmt_id", "left")
     else:
         out = out.withColumns({
             c: F.lit(None).cast("bigint")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
-from lintlake.functions.sqltext import once, quote, sql_map
+from lintlake.functions.sqltext import once, quote, sql_map, with_computed
 from lintlake.operators.scoring import severity_name
 
 NODE_COLUMNS = [
@@ -18,6 +18,10 @@ NODE_COLUMNS = [
     "est_rows", "extra",
 ]
 
+#: Types of plan issues in the order in which a node is checked for them.
+ISSUE_TYPES = ["FULL_TABLE_SCAN", "NO_INDEX_USED", "HIGH_ROWS", "USING_TEMPORARY", "USING_FILESORT"]
+EXPLAIN_TYPES = "array<struct<first_no:int,type:string,n:bigint,message:string>>"
+
 
 def node_flags() -> dict[str, Column]:
     """EXP-2."""
@@ -78,12 +82,27 @@ def plan_issues(nodes: DataFrame, threshold: int = fv.HIGH_ROWS_THRESHOLD) -> Da
     )
 
 
-def plan_rollup(nodes: DataFrame, threshold: int = fv.HIGH_ROWS_THRESHOLD) -> DataFrame:
-    """EXP-4, EXP-5: rows, flags, issue counts and severity of each plan, in one grouping."""
+def plan_rollup(nodes: DataFrame, threshold: int = fv.HIGH_ROWS_THRESHOLD, with_types: bool = False) -> DataFrame:
+    """EXP-4, EXP-5: rows, flags, issue counts and severity of each plan, in one grouping.
+
+    ``with_types`` adds ``explain``: of each type of issue (at most five) its count and first message, in order of
+    appearance; the same grouping makes them.
+    """
     flags = with_node_flags(nodes)
+    firsts, places = [], range(len(ISSUE_TYPES)) if with_types else []
+    if with_types:
+        flags = with_computed(flags, found=_node_issues(threshold))
+    for k in places:
+        issue = F.get("found", F.lit(k))
+        number = (F.col("node_no") * len(ISSUE_TYPES) + k).cast("int").alias("first_no")
+        firsts += [
+            F.count(issue).alias(f"n{k}"),
+            F.min(F.when(issue.isNotNull(), F.struct(number, issue["message"].alias("message")))).alias(f"first{k}"),
+        ]
     high = F.coalesce(F.col("est_rows") > threshold, F.lit(False))
     per_node = flags.select(
         "stmt_id", "est_rows", "full_scan", "uses_index", "temporary", "filesort", high.alias("high"),
+        *(["node_no", "found"] if with_types else []),
         # number of issues of this node by severity
         (F.col("full_scan") & high).cast("int").alias("c"),
         ((F.col("full_scan") & ~high).cast("int") + high.cast("int")
@@ -100,7 +119,13 @@ def plan_rollup(nodes: DataFrame, threshold: int = fv.HIGH_ROWS_THRESHOLD) -> Da
         F.bool_or("temporary").alias("has_temporary"),
         F.bool_or("filesort").alias("has_filesort"),
         F.sum("c").alias("explain_critical"), F.sum("w").alias("explain_warning"), F.sum("i").alias("explain_info"),
+        *firsts,
     )
+    if with_types:
+        of_type = [F.struct(F.col(f"first{k}.first_no").alias("first_no"), F.lit(ISSUE_TYPES[k]).alias("type"), F.col(f"n{k}").alias("n"),
+                            F.col(f"first{k}.message").alias("message")) for k in places]
+        explain = F.array_sort(F.filter(F.array(*of_type), lambda t: t["n"] > 0)).cast(EXPLAIN_TYPES).alias("explain")
+        grouped = grouped.select(*[c for c in grouped.columns if c not in {f"{x}{k}" for x in ("n", "first") for k in places}], explain)
     rank = F.when(F.col("explain_critical") > 0, 3).when(F.col("explain_warning") > 0, 2).otherwise(1)
     return grouped.withColumns({
         "explain_issues": F.col("explain_critical") + F.col("explain_warning") + F.col("explain_info"),

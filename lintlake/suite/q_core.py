@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lintlake.operators import rules as ru
 from lintlake.operators import scoring as sc
 from lintlake.operators.preprocess import preprocess, select_blocks, statements_from_log
 from lintlake.plans.guard import explain_guard
+from lintlake.session import ensure_checkpoint_dir
 from lintlake.suite import corpus
 from lintlake.suite import twin_core as tw
 from lintlake.suite.registry import query
@@ -235,6 +238,17 @@ def _(spark, sf):
         "location_count")
 
 
+@query("ded_01_incremental", with_(
+    "SELECT stmt_id, original_sql, source_type, first_path, first_line, location_count FROM stmt", "stmt"))
+def _(spark, sf):
+    # Java files first, then the others, then the Java files again after a scan that was repeated
+    state = dd.FingerprintState(spark, f"{ensure_checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}")
+    occ = corpus.occurrences(spark, sf)
+    java = F.col("path").endswith(".java")
+    state.ingest(occ.where(java), "java").ingest(occ.where(~java), "other").ingest(occ.where(java), "java")
+    return state.statements().select("stmt_id", "original_sql", "source_type", "first_path", "first_line", "location_count")
+
+
 @query("ded_02_dedup_stats", with_(
     "SELECT total, uniq, total - uniq AS duplicates, floor((total - uniq) * 1000.0::DOUBLE / total + 0.5) / 10.0::DOUBLE "
     "AS duplicate_rate FROM (SELECT count(*) AS total, count(DISTINCT stmt_key) AS uniq FROM fp)", "fp"))
