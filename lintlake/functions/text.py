@@ -56,10 +56,12 @@ def any_prefix(c: Column, prefixes: list[str]) -> Column:
 
 def is_cache_key(c: Column) -> Column:
     """EXT-2: ``update:sku:3`` and the like are keys of a cache, not SQL."""
-    text = strip(c)
-    colons = F.regexp_count(text, F.lit(":"))
-    spaces = F.regexp_count(text, F.lit(" "))
-    return text.contains(":") & (~text.contains(" ") | ((colons > 2) & (colons > spaces)))
+
+    def is_key(text: Column) -> Column:
+        count = lambda sign: F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+        return ~text.contains(" ") | ((count(":") > 2) & (count(":") > count(" ")))
+
+    return c.contains(":") & let(strip(c), is_key)
 
 
 # Leading keyword and the word which that keyword needs, as one pattern: one pass over the text.

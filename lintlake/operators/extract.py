@@ -54,7 +54,8 @@ def unescape(c: Column) -> Column:
     t = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
     for code, char in (("n", "\n"), ("t", "\t"), ("r", "\r")):
         t = F.replace(t, F.lit("\\" + code), F.lit(char))
-    return F.replace(F.regexp_replace(t, r"(?s)\\(.)", "$1"), F.lit("\x00"), F.lit("\\"))
+    decoded = F.replace(F.regexp_replace(t, r"(?s)\\(.)", "$1"), F.lit("\x00"), F.lit("\\"))
+    return F.when(c.contains("\\"), decoded).otherwise(F.replace(c, F.lit("\x00"), F.lit("\\")))
 
 
 # --- Java -----------------------------------------------------------------------------------------
@@ -67,27 +68,20 @@ def _is_expression(between: Column) -> Column:
 
 def rebuild_concat(line: Column) -> Column:
     """EXT-4: the statement a line concatenates, ``?`` for every expression; null when there is none."""
+    def joined(parts: Column, gaps: Column, first: Column) -> Column:
+        rest = F.zip_with(
+            F.slice(parts, first, F.size(parts)),
+            F.slice(gaps, first + 1, F.size(gaps)),
+            lambda p, g: F.concat(p, F.when(_is_expression(g), "?").otherwise("")),
+        )
+        return F.array_join(rest, "")
+
+    def rebuilt(parts: Column) -> Column:
+        first = F.array_position(F.transform(parts, tx.looks_like_fragment), True).cast("int")
+        return let(first, lambda at: F.when(at > 0, let(tx.split_by(line, LITERAL), lambda gaps: joined(parts, gaps, at))))
+
     parts = F.transform(F.regexp_extract_all(line, F.lit(LITERAL), F.lit(1)), unescape)
-    state = F.struct(
-        parts.alias("parts"),
-        tx.split_by(line, LITERAL).alias("gaps"),
-        F.array_position(F.transform(parts, tx.looks_like_fragment), True).cast("int").alias("first"),
-    )
-    joined = F.transform(
-        F.array(state),
-        lambda s: F.when(
-            s["first"] > 0,
-            F.array_join(
-                F.zip_with(
-                    F.slice(s["parts"], s["first"], F.size(s["parts"])),
-                    F.slice(s["gaps"], s["first"] + 1, F.size(s["gaps"])),
-                    lambda p, g: F.concat(p, F.when(_is_expression(g), "?").otherwise("")),
-                ),
-                "",
-            ),
-        ),
-    )
-    return F.when(line.contains("+"), tx.normalize(joined[0]))
+    return F.when(line.contains("+"), tx.normalize(let(parts, rebuilt)))
 
 
 def java_literals(content: Column) -> Column:
@@ -170,10 +164,12 @@ def _first_call(text: Column) -> Column:
 def _annotation_calls(content: Column, names: str) -> Column:
     """The arguments of each ``@Name(...)``; their literals carry the number of their line."""
     marked = per_line(content, lambda t, i: F.replace(t, F.lit('"'), F.concat(F.lit('"'), line_mark(i))))
-    parts = F.split(marked, rf"(?i)@(?:{names})\s*(?=\()")
-    calls = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), _first_call)
+    calls = let(
+        F.split(marked, rf"(?i)@(?:{names})\s*(?=\()"),
+        lambda parts: F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), _first_call))
     found = F.filter(calls, lambda c: c.isNotNull())
-    return F.when(content.contains("@"), found).otherwise(F.array().cast("array<string>"))
+    named = content.contains("@") & content.rlike(rf"(?i)@(?:{names})\s*\(")
+    return F.when(named, found).otherwise(F.array().cast("array<string>"))
 
 
 def _call_sql(call: Column) -> Column:

@@ -43,7 +43,8 @@ def open_tag(element: Column) -> Column:
 
 def attr(tag: Column, name: str) -> Column:
     value = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    return F.concat(F.regexp_extract(tag, value, 1), F.regexp_extract(tag, value, 2))
+    both = lambda t: F.concat(F.regexp_extract(t, value, 1), F.regexp_extract(t, value, 2))
+    return let(tag, lambda t: F.when(t.contains("="), both(t)).when(t.isNotNull(), ""))
 
 
 def inner(element: Column) -> Column:
@@ -58,13 +59,13 @@ def spaced(c: Column) -> Column:
 
 
 def where_clause(body: Column) -> Column:
-    t = tx.strip(F.regexp_replace(body, r"(?i)^\s*(AND|OR)\s+", ""))
-    return F.when(t == "", "").otherwise(F.concat(F.lit("WHERE "), t))
+    cut = tx.strip(F.regexp_replace(body, r"(?i)^\s*(AND|OR)\s+", ""))
+    return let(cut, lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("WHERE "), t)))
 
 
 def set_clause(body: Column) -> Column:
-    t = tx.strip(F.regexp_replace(F.regexp_replace(body, r"^\s*,\s*", ""), r"\s*,\s*$", ""))
-    return F.when(t == "", "").otherwise(F.concat(F.lit("SET "), t))
+    cut = tx.strip(F.regexp_replace(F.regexp_replace(body, r"^\s*,\s*", ""), r"\s*,\s*$", ""))
+    return let(cut, lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("SET "), t)))
 
 
 def _first_override(text: Column, overrides: Column, test: Callable[[Column, Column], Column]) -> Column:
@@ -109,7 +110,7 @@ def choose_element(body: Column) -> Column:
     whens = F.regexp_extract_all(body, F.lit(f"{WHEN_OPEN}([^{WHEN_CLOSE}]*){WHEN_CLOSE}"), F.lit(1))
     others = F.regexp_extract_all(body, F.lit(f"{ELSE_OPEN}([^{ELSE_CLOSE}]*){ELSE_CLOSE}"), F.lit(1))
     return F.coalesce(
-        F.get(F.filter(whens, lambda t: tx.strip(t) != ""), F.lit(0)), F.get(others, F.size(others) - 1), F.lit("")
+        F.get(F.filter(whens, lambda t: tx.strip(t) != ""), F.lit(0)), F.try_element_at(others, F.lit(-1)), F.lit("")
     )
 
 
@@ -166,11 +167,16 @@ def flatten_tags(body: Column) -> Column:
     def one_pass(s: Column) -> Column:
         return let(_one_level(s["text"]), lambda t: state(t, t.contains("<") & (t != s["text"])))
 
-    rounds = F.array_repeat(F.lit(0), F.regexp_count(body, F.lit("<[A-Za-z]")).cast("int"))
-    flat = F.aggregate(
-        rounds, state(body, body.contains("<")), lambda s, _: F.when(s["open"], one_pass(s)).otherwise(s))["text"]
-    flat = let(flat, lambda t: F.when(t.contains("<"), F.regexp_replace(t, r"<[^<>]*>", " ")).otherwise(t))
-    return tx.normalize(F.translate(flat, WHEN_OPEN + WHEN_CLOSE + ELSE_OPEN + ELSE_CLOSE, "    "))
+    def resolved(text: Column) -> Column:
+        rounds = F.array_repeat(F.lit(0), F.regexp_count(text, F.lit("<[A-Za-z]")).cast("int"))
+        flat = F.aggregate(
+            rounds, state(text, F.lit(True)), lambda s, _: F.when(s["open"], one_pass(s)).otherwise(s))["text"]
+        flat = let(flat, lambda t: F.when(t.contains("<"), F.regexp_replace(t, r"<[^<>]*>", " ")).otherwise(t))
+        return F.translate(flat, WHEN_OPEN + WHEN_CLOSE + ELSE_OPEN + ELSE_CLOSE, "    ")
+
+    # the body is a chain of rewrites of its own: computed once here, not once for each use
+    marks = WHEN_OPEN + WHEN_CLOSE + ELSE_OPEN + ELSE_CLOSE
+    return let(body, lambda t: tx.normalize(F.when(t.contains("<"), resolved(t)).otherwise(F.translate(t, marks, "    "))))
 
 
 # --- includes (EXT-10) ---------------------------------------------------------------------------------------
@@ -183,27 +189,27 @@ _SELECT_KEY = rf"(?is)<selectKey\b{ATTRS}>.*?</selectKey\s*>"
 def resolve_includes(text: Column, fragments: Column) -> Column:
     """Included fragments by full id, else by the part behind the last dot; unknown ones leave a mark."""
 
+    def hit(key: Column) -> Column:
+        return F.try_element_at(F.filter(fragments, lambda f: f["id"] == key), F.lit(-1))["body"]
+
     def body_of(ref: Column) -> Column:
-        hits = lambda key: F.filter(fragments, lambda f: f["id"] == key)
-        last = lambda a: F.get(a, F.size(a) - 1)["body"]
-        return F.coalesce(
-            last(hits(ref)), F.when(ref.contains("."), last(hits(F.substring_index(ref, ".", -1))))
-        )
+        return F.coalesce(hit(ref), F.when(ref.contains("."), let(F.substring_index(ref, ".", -1), hit)))
 
-    def one(m: Column) -> Column:
-        ref = attr(open_tag(m), "refid")
+    def named(ref: Column) -> Column:
         missing = F.when(F.trim(ref) == "", "").otherwise(F.concat(F.lit("/* INCLUDE:"), ref, F.lit(" */")))
         return spaced(F.coalesce(body_of(ref), missing))
 
+    def one(m: Column) -> Column:
+        return let(attr(open_tag(m), "refid"), named)
+
     return rewrite_each(text, "(?i)<include", _INCLUDE, one)
 
 
 def _binds(text: Column) -> Column:
     return rewrite_each(
         text, "(?i)<bind", _BIND,
-        lambda m: F.concat(
-            F.lit(" /* BIND:"), attr(open_tag(m), "name"), F.lit("="), attr(open_tag(m), "value"), F.lit(" */ ")
-        ),
+        lambda m: let(open_tag(m), lambda tag: F.concat(
+            F.lit(" /* BIND:"), attr(tag, "name"), F.lit("="), attr(tag, "value"), F.lit(" */ "))),
     )
 
 
