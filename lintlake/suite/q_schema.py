@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lintlake import fixed_values as fv
 from lintlake.operators import schema as sch
+from lintlake.session import materialized
 from lintlake.suite import corpus
 from lintlake.suite.registry import query
 from lintlake.suite.twin_core import part, q, with_
@@ -332,7 +333,7 @@ def _(spark, sf):
 def _(spark, sf):
     ddl = sch.extract_ddl(ddl_files(spark, sf))
     without = sch.extract_ddl(ddl_files(spark, sf).withColumn("content", F.lit("-- nothing here")))
-    inferred = sch.infer_tables(dml(spark, sf))
+    inferred = materialized(sch.infer_tables(dml(spark, sf)))  # read by both cases
     a = _table_cols(sch.resolve_schema(ddl, inferred)).withColumn("case_name", F.lit("with ddl"))
     b = _table_cols(sch.resolve_schema(without, inferred)).withColumn("case_name", F.lit("no ddl"))
     return a.unionByName(b)
